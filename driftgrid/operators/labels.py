@@ -37,7 +37,8 @@ def intervals_by_hour(log: DataFrame) -> DataFrame:
     )
     parts = (
         log.filter(F.col("start_ts") <= F.col("end_ts"))
-        .select("start_ts", "end_ts", F.explode(span).cast("timestamp_ntz").alias("_hour"))
+        .select("start_ts", "end_ts", F.explode(span).alias("_hour"))
+        .withColumn("_hour", F.col("_hour").cast("timestamp_ntz"))
         .select(
             "_hour",
             F.greatest("start_ts", "_hour").alias("_s"),

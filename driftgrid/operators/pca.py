@@ -115,7 +115,8 @@ def score_vectors(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("
     def score(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         out = rows[[*place, *carried]].copy()
         if rows.empty or models.empty:
-            return out.iloc[:0].assign(scores=[], residual=[])
+            nothing = pd.Series([], dtype=object)
+            return out.iloc[:0].assign(scores=nothing, residual=nothing)
         one = models.iloc[0]
         mean = np.asarray(one["mean"], dtype=float)
         axes = np.asarray(one["loadings"], dtype=float).reshape(int(one["k"]), len(mean))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator relies on.  All of them can be changed on a running session.
@@ -22,7 +24,11 @@ RUNTIME_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings and make sure a checkpoint folder is known."""
+    """Apply the runtime settings and make sure a checkpoint folder is known.
+
+    The Python helpers travel with the tasks, so executors need no copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["driftgrid"])
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     shared_folder(spark)
