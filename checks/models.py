@@ -22,13 +22,13 @@ SPLIT_SQL = f"case when ts <= timestamp '{fx.CUT}' then 'train' else 'test' end
 
 
 def scaled_grid(spark: SparkSession, sf_dir: str, series: int = 4) -> DataFrame:
-    grid = impute.impute(shape.to_grid(fx.gauge(spark, sf_dir, series)))
+    grid = store(impute.impute(store(shape.to_grid(fx.gauge(spark, sf_dir, series)))))
     return scale.apply_scaler(grid, scale.fit_standard(grid))
 
 
 def split_vectors(spark: SparkSession, sf_dir: str, series: int = 2, fit_on: str = "all") -> DataFrame:
-    grid = impute.impute(shape.to_grid(fx.gauge(spark, sf_dir, series)))
-    return store(analyses.scaled_vectors(store(grid), *ranges(), fit_on))
+    grid = store(impute.impute(store(shape.to_grid(fx.gauge(spark, sf_dir, series)))))
+    return store(analyses.scaled_vectors(grid, *ranges(), fit_on))
 
 
 # Two series have a closed form: the minor axis of a 2 x 2 covariance matrix.
@@ -72,7 +72,7 @@ def norm_loss_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge samples to flags with no components kept: the loss is the squared norm."""
     tagged = split.tag_ranges(scaled_grid(spark, sf_dir), *ranges())
     loss = tagged.groupBy("slice_id", "split", "ts").agg(F.sum(pca.sq_error(F.col("value"))).alias("loss"))
-    flags = thresholds.sigma_threshold(loss)
+    flags = thresholds.sigma_threshold(store(loss))
     return flags.select("slice_id", "split", "ts", r("loss").alias("loss"), r("threshold").alias("threshold"), "is_anomaly")
 
 
@@ -402,7 +402,7 @@ _WAVE_ROWS = [
 
 
 def _wave_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = shape.first_series(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir))))
+    grid = shape.first_series(store(impute.impute(store(shape.to_grid(fx.gauge(spark, sf_dir))))))
     scaled = scale.apply_scaler(grid, scale.fit_minmax(grid))
     return store(split.restart_positions(split.tag_ranges(scaled, *ranges())))
 

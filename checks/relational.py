@@ -11,7 +11,7 @@ from checks.registry import check
 from driftgrid.axis import time_axis
 from driftgrid.functions import arrays, attrs, times
 from driftgrid.operators import clean, impute, labels, merge, quality, scale, shape, split, traces
-from driftgrid.session import fresh_path
+from driftgrid.session import fresh_path, store
 from driftgrid.sources import readers, schemas, writers
 
 # --- sources and sinks -------------------------------------------------------------------
@@ -658,7 +658,7 @@ def fit_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def apply_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The imputed grid, standardised per series."""
-    grid = impute.impute(shape.to_grid(fx.gauge(spark, sf_dir)))
+    grid = store(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir))))
     return scale.apply_scaler(grid, scale.fit_standard(grid)).select("slice_id", "ts", "series_id", r("value").alias("value"))
 
 
@@ -668,7 +668,7 @@ def apply_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from imputed window w as (partition by slice_id, series_id)""",
 )
 def apply_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = impute.impute(shape.to_grid(fx.gauge(spark, sf_dir)))
+    grid = store(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir))))
     return scale.apply_scaler(grid, scale.fit_minmax(grid)).select("slice_id", "ts", "series_id", r("value").alias("value"))
 
 
@@ -830,7 +830,7 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of fifty over the first series; chunks of 64 rows, so most windows cross a border."""
     from driftgrid.operators.windows import sliding_windows as slide
 
-    grid = shape.first_series(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir))))
+    grid = store(shape.first_series(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir)))))
     found = slide(split.split_ratio(grid, chunk_rows=64), 50, chunk_rows=64)
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
     return found.select(
@@ -847,7 +847,7 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_k_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgrid.operators.pca import sq_error, top_k
 
-    grid = impute.impute(shape.to_grid(fx.gauge(spark, sf_dir)))
+    grid = store(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir))))
     scaled = scale.apply_scaler(grid, scale.fit_standard(grid))
     contrib = scaled.select("slice_id", "ts", "series_id", sq_error(F.col("value")).alias("sq_error"))
     return top_k(contrib, 2).withColumn("sq_error", r("sq_error"))

@@ -22,14 +22,21 @@ RESOURCE_KEYS = (
 _BARE_WORDS = (("None", "null"), ("True", "true"), ("False", "false"))
 
 
+def _outside_quotes(word: str) -> str:
+    """Pattern for the next bare ``word``, passing over quoted text; group 1 is what precedes it."""
+    quoted = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\""
+    return rf"\G((?:[^'\"{word[0]}]++|{quoted}|{word[0]}(?!{word[1:]}\b))*+){word}\b"
+
+
 def parse_attrs(text: Column) -> Column:
-    """Dict-literal text to a map of strings; null where the text does not parse."""
-    json_text = text
+    """Dict-literal text to a map of strings; null where the text does not parse.
+
+    Bare ``None``, ``True`` and ``False`` are respelled first; quoted text is left alone.
+    """
     for word, json_word in _BARE_WORDS:
-        json_text = F.regexp_replace(json_text, rf"(:\s*){word}(\s*[,}}])", f"$1{json_word}$2")
-    return F.coalesce(
-        F.from_json(text, "map<string,string>"), F.from_json(json_text, "map<string,string>")
-    )
+        respelled = F.regexp_replace(text, _outside_quotes(word), f"$1{json_word}")
+        text = F.when(F.contains(text, F.lit(word)), respelled).otherwise(text)
+    return F.from_json(text, "map<string,string>")
 
 
 def strip_backslash(text: Column) -> Column:

@@ -9,6 +9,7 @@ from driftgrid.functions.arrays import parse_array
 from driftgrid.operators.impute import impute
 from driftgrid.operators.pca import fit_pca, score_vectors, squared_sum
 from driftgrid.operators.shape import pad_to_longest, to_bucket_grid
+from driftgrid.session import store
 
 BUCKET = ("slice_id", "bucket")
 
@@ -18,7 +19,7 @@ def bucket_grid(df: DataFrame, arr: str = "bucket_counts") -> DataFrame:
 
     Padding comes before any split, so every array of a slice has one length.
     """
-    filled = impute(to_bucket_grid(df, arr), rows=1, value=arr)
+    filled = store(impute(store(to_bucket_grid(df, arr)), rows=1, value=arr))
     return pad_to_longest(filled.withColumn(arr, parse_array(F.col(arr))), arr)
 
 

@@ -33,7 +33,8 @@ def span_edges(spans: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     one = spans.groupBy("span_id").agg(F.min_by("parent_span_id", rank).alias("parent_span_id"))
     one = store(one)
     known = one.select(F.col("span_id").alias("parent_span_id"))
-    return salted_join(one.filter(F.col("parent_span_id").isNotNull()), known, ["parent_span_id"], "left_semi").select(
+    children = one.filter(F.col("parent_span_id").isNotNull())
+    return salted_join(children, known, ["parent_span_id"], "left_semi", at_most=one.count()).select(
         "span_id", "parent_span_id"
     )
 
@@ -55,10 +56,11 @@ def span_chains(
     known = store(known.filter("span_id <> ancestor_id"))
     jump = edges.select("span_id", F.col("parent_span_id").alias("mid"))
     reach, rows = 1, known.count()
+    spans_left = edges.count()
     while rows and (max_depth is None or reach < max_depth):
         ahead = known.select(F.col("span_id").alias("mid"), "ancestor_id", F.col("depth").alias("_more"))
         share = max(rows_per_task // reach, 1)
-        further = salted_join(jump, ahead, ["mid"], rows_per_task=share).select(
+        further = salted_join(jump, ahead, ["mid"], rows_per_task=share, at_most=spans_left).select(
             "span_id", "ancestor_id", (F.col("_more") + reach).alias("depth")
         )
         merged = store(
@@ -73,7 +75,9 @@ def span_chains(
             break
         rows = total
         hops = jump.select(F.col("span_id").alias("mid"), F.col("mid").alias("_next"))
-        jump = store(salted_join(jump, hops, ["mid"]).select("span_id", F.col("_next").alias("mid")))
+        jump = store(
+            salted_join(jump, hops, ["mid"], at_most=spans_left).select("span_id", F.col("_next").alias("mid"))
+        )
         reach *= 2
     if max_depth is not None:
         known = known.filter(F.col("depth") <= max_depth)

@@ -33,11 +33,18 @@ def _taps(wavelet: str) -> Column:
     return F.array(*[F.lit(t) for t in LOW_PASS[wavelet]])
 
 
-def _down(level: DataFrame, wavelet: str) -> DataFrame:
-    """One low-pass decomposition step with mirrored borders; ``n`` becomes floor((n + taps - 1) / 2)."""
+def _lengths(wavelet: str, levels: int) -> list[Column]:
+    """Length of the series at each level, from its full length ``n0``."""
+    out = [F.col("n0")]
+    for _ in range(levels):
+        out.append(F.floor((out[-1] + (len(LOW_PASS[wavelet]) - 1)) / 2).cast("bigint"))
+    return out
+
+
+def _down(level: DataFrame, wavelet: str, n: Column, out_n: Column) -> DataFrame:
+    """One low-pass decomposition step with mirrored borders, from ``n`` to ``out_n`` samples."""
     width = len(LOW_PASS[wavelet])
-    i, n = F.col("i"), F.col("n")
-    out_n = F.floor((n + (width - 1)) / 2).cast("bigint")
+    i = F.col("i")
     # The places a sample holds on the mirrored axis, as far as the filter reaches.
     places = F.filter(
         F.array(i, F.when(i < width - 1, -1 - i), F.when(i >= n - (width - 1), 2 * n - 1 - i)),
@@ -50,20 +57,20 @@ def _down(level: DataFrame, wavelet: str) -> DataFrame:
     k = F.floor(at / 2).cast("bigint")
     return (
         spread.filter((F.pmod(at, F.lit(2)) == 0) & (k >= 0) & (k < out_n))
-        .groupBy(*KEYS, k.alias("i"), out_n.alias("n"))
+        .groupBy(*KEYS, "n0", "depth", k.alias("i"))
         .agg(F.sum(F.col("_tap") * F.col("value")).alias("value"))
     )
 
 
-def _up(level: DataFrame, wavelet: str, length: Column) -> DataFrame:
-    """One reconstruction step from the low-pass part alone, cut to ``length``."""
+def _up(level: DataFrame, wavelet: str, out_n: Column) -> DataFrame:
+    """One reconstruction step from the low-pass part alone, cut to ``out_n`` samples."""
     width = len(LOW_PASS[wavelet])
     back = F.array(*[F.lit(t) for t in reversed(LOW_PASS[wavelet])])
-    spread = level.withColumn("n", length).select("*", F.posexplode(back).alias("_q", "_tap"))
+    spread = level.select("*", F.posexplode(back).alias("_q", "_tap"))
     at = 2 * F.col("i") - (width - 2) + F.col("_q")
     return (
-        spread.filter((at >= 0) & (at < F.col("n")))
-        .groupBy(*KEYS, at.alias("i"), "n")
+        spread.filter((at >= 0) & (at < out_n))
+        .groupBy(*KEYS, "n0", "depth", at.alias("i"))
         .agg(F.sum(F.col("_tap") * F.col("value")).alias("value"))
     )
 
@@ -80,32 +87,30 @@ def wavelet_smooth(df: DataFrame, wavelet: str = "db4", level: int | None = None
     ``pos`` is the position within the split.  A slice is decomposed to its own maximal level,
     or to ``level`` if that is lower; a slice too short for one level stays as it is.
     """
-    depth = max_level(F.col("n"), wavelet)
+    depth = max_level(F.col("n0"), wavelet)
     if level is not None:
         depth = F.least(depth, F.lit(level))
     sizes, cells = store_measured(
-        df.groupBy(*KEYS).agg((F.max("pos") + 1).alias("n")).withColumn("depth", depth)
+        df.groupBy(*KEYS).agg((F.max("pos") + 1).alias("n0")).withColumn("depth", depth)
     )
-    deepest = sizes.agg(F.max("depth").alias("d")).first()["d"] or 0
-    samples = lookup(df.select(*KEYS, F.col("pos").alias("i"), "value"), (sizes, cells), list(KEYS))
-    rows_of = samples.select(*KEYS, "i", "n", "value", "depth")
-    # A slice leaves the way down at its own depth and re-enters the way up there.
-    steps = {0: rows_of.filter("depth = 0").drop("depth")}
-    current = rows_of
+    depths = {row["depth"] for row in sizes.select("depth").distinct().collect()}
+    deepest = max(depths, default=0)
+    lengths = _lengths(wavelet, deepest)
+    columns = [*KEYS, "n0", "depth", "i", "value"]
+    current = lookup(df.select(*KEYS, F.col("pos").alias("i"), "value"), (sizes, cells), list(KEYS)).select(*columns)
+    # A series leaves the way down at its own depth and joins the way up there.
+    leaving = {0: current}
     for step in range(1, deepest + 1):
-        current = lookup(
-            _down(current.filter(F.col("depth") >= step).drop("depth"), wavelet),
-            (sizes.drop("n"), cells), list(KEYS),
-        )
-        steps[step] = current.filter(F.col("depth") == step).drop("depth")
-    lengths = [F.col("_n0")]
-    for _ in range(deepest):
-        lengths.append(F.floor((lengths[-1] + len(LOW_PASS[wavelet]) - 1) / 2).cast("bigint"))
+        current = _down(
+            current.filter(F.col("depth") >= step), wavelet, lengths[step - 1], lengths[step]
+        ).select(*columns)
+        leaving[step] = current
     rising = None
-    base = sizes.select(*KEYS, F.col("n").alias("_n0"))
-    for step in range(deepest, 0, -1):
-        here = steps[step] if rising is None else rising.unionByName(steps[step])
-        rising = _up(lookup(here, (base, cells), list(KEYS)), wavelet, lengths[step - 1])
-    smooth = steps[0] if rising is None else rising.unionByName(steps[0])
-    smooth = smooth.select(*KEYS, F.col("i").alias("pos"), F.col("value").alias("_smooth"))
+    for step in range(deepest, -1, -1):
+        if step in depths:
+            own = leaving[step].filter(F.col("depth") == step)
+            rising = own if rising is None else rising.unionByName(own)
+        if step:
+            rising = _up(rising, wavelet, lengths[step - 1]).select(*columns)
+    smooth = rising.select(*KEYS, F.col("i").alias("pos"), F.col("value").alias("_smooth"))
     return df.join(smooth, [*KEYS, "pos"]).withColumn("value", F.col("_smooth")).select(*df.columns)

@@ -17,11 +17,15 @@ Range = tuple[Column, Column]
 
 
 def prepared_grid(samples: DataFrame, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
-    """Sparse samples (slice_id, ts, series_id, value) to a gap-free grid of the slices long enough."""
-    grid = shape.min_length(shape.to_grid(samples), rows)
+    """Sparse samples (slice_id, ts, series_id, value) to a gap-free grid of the slices long enough.
+
+    The samples are read once: their means are written out, and so is the grid, since both
+    are used several times.
+    """
+    grid = shape.min_length(store(shape.to_grid(samples)), rows)
     if cutoff is not None:
         grid = prune_one_sided(grid, cutoff)
-    return impute(grid)
+    return store(impute(grid))
 
 
 def scaled_vectors(
@@ -45,8 +49,8 @@ def metric_pca(
     cutoff: Column | None = None,
 ) -> DataFrame:
     """Reconstruction loss of every train and test time of every slice."""
-    grid = store(prepared_grid(samples, cutoff=cutoff))
-    vectors = scaled_vectors(grid, train, test, fit_on)
+    grid = prepared_grid(samples, cutoff=cutoff)
+    vectors = store(scaled_vectors(grid, train, test, fit_on))
     model = store(pca.fit_pca(vectors.filter("split = 'train'"), k=k, target=target, plus=plus))
     return pca.score_losses(vectors, model).select("slice_id", "split", "ts", "loss")
 
@@ -66,8 +70,8 @@ def metric_root_causes(
     """
     if slices is not None:
         samples = split.only_slices(samples, slices)
-    grid = store(prepared_grid(samples))
-    vectors = scaled_vectors(grid, train, test, fit_on="train")
+    grid = prepared_grid(samples)
+    vectors = store(scaled_vectors(grid, train, test, fit_on="train"))
     model = pca.fit_pca(vectors.filter("split = 'train'"), k=components)
     return pca.explain(
         vectors.filter("split = 'test'"), model, shape.series_lists(grid), threshold, k
@@ -84,7 +88,7 @@ def window_forecast(samples: DataFrame, length: int = 50, ratio: float = 0.8, ag
     parts = store(split.split_ratio(_minmax_first_series(samples), ratio))
     found = windows.sliding_windows(parts, length)
     loss = windows.forecast_loss(found, windows.fit_forecast(found), against)
-    return thresholds.sigma_threshold(loss)
+    return thresholds.sigma_threshold(store(loss))
 
 
 def window_reconstruction(samples: DataFrame, length: int = 50, ratio: float = 0.8, k: int = 4) -> DataFrame:
@@ -92,7 +96,7 @@ def window_reconstruction(samples: DataFrame, length: int = 50, ratio: float = 0
     parts = store(split.split_ratio(_minmax_first_series(samples), ratio))
     found = windows.sliding_windows(parts, length)
     loss = windows.window_reconstruction_loss(found, windows.fit_window_autoencoder(found, k))
-    return thresholds.sigma_threshold(loss)
+    return thresholds.sigma_threshold(store(loss))
 
 
 def wavelet_forecast(
@@ -101,19 +105,19 @@ def wavelet_forecast(
     """The window forecast on wavelet-smoothed train and test ranges."""
     tagged = split.tag_ranges(_minmax_first_series(samples), train, test, closed="both")
     parts = split.restart_positions(tagged)
-    smooth = store(wavelet.wavelet_smooth(store(parts), name))
+    smooth = store(wavelet.wavelet_smooth(parts, name))
     found = windows.sliding_windows(smooth, length)
     loss = windows.forecast_loss(found, windows.fit_forecast(found), against)
-    return thresholds.sigma_threshold(loss)
+    return thresholds.sigma_threshold(store(loss))
 
 
 def histogram_pca(
     samples: DataFrame, train: Range, test: Range, k: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Loss per time and overall error per split, from one model per slice and bucket."""
-    grid = store(buckets.bucket_grid(samples))
+    grid = buckets.bucket_grid(samples)
     tagged = split.drop_empty(split.tag_ranges(grid, train, test, closed="both"))
-    vectors = buckets.bucket_vectors(tagged)
+    vectors = store(buckets.bucket_vectors(tagged))
     residuals = store(buckets.bucket_residuals(vectors, buckets.fit_bucket_pca(vectors, k)))
     return buckets.loss_mse(residuals), buckets.overall_mse(residuals)
 
