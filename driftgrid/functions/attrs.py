@@ -33,10 +33,11 @@ def parse_attrs(text: Column) -> Column:
 
     Bare ``None``, ``True`` and ``False`` are respelled first; quoted text is left alone.
     """
+    respelled = text
     for word, json_word in _BARE_WORDS:
-        respelled = F.regexp_replace(text, _outside_quotes(word), f"$1{json_word}")
-        text = F.when(F.contains(text, F.lit(word)), respelled).otherwise(text)
-    return F.from_json(text, "map<string,string>")
+        respelled = F.regexp_replace(respelled, _outside_quotes(word), f"$1{json_word}")
+    has_word = text.rlike("|".join(word for word, _ in _BARE_WORDS))
+    return F.from_json(F.when(has_word, respelled).otherwise(text), "map<string,string>")
 
 
 def strip_backslash(text: Column) -> Column:

@@ -22,7 +22,13 @@ def with_slice(df: DataFrame, cols: Sequence[str] | str) -> DataFrame:
     parts = [
         slice_key(F.col(c)) if isinstance(types[c], T.MapType) else F.col(c).cast("string") for c in cols
     ]
-    return df.na.drop(subset=cols).withColumn("slice_id", join_key(*parts))
+    known = F.lit(True)
+    for part in parts:
+        known = known & part.isNotNull()
+    # Exploding a list of at most one key drops the rows without one, and lets the key,
+    # which may take a parse of the attribute text, be computed once for both purposes.
+    key = parts[0] if len(parts) == 1 else F.when(known, join_key(*parts))
+    return df.withColumn("slice_id", F.explode(F.array_compact(F.array(key))))
 
 
 def distinct_on(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftgrid import spread
 from driftgrid.session import store
-from driftgrid.spread import ROWS_PER_TASK, salted_join
+from driftgrid.spread import salted_join
 
 
 def join_telemetry(spans: DataFrame, metrics: DataFrame, on: str = "ts") -> DataFrame:
@@ -43,7 +44,7 @@ def span_chains(
     spans: DataFrame,
     max_depth: int | None = None,
     order: Sequence[str] = (),
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Every span with all its ancestors: (span_id, ancestor_id, depth), depth 0 being the span itself.
 
@@ -59,7 +60,7 @@ def span_chains(
     spans_left = edges.count()
     while rows and (max_depth is None or reach < max_depth):
         ahead = known.select(F.col("span_id").alias("mid"), "ancestor_id", F.col("depth").alias("_more"))
-        share = max(rows_per_task // reach, 1)
+        share = max((rows_per_task or spread.ROWS_PER_TASK) // reach, 1)
         further = salted_join(jump, ahead, ["mid"], rows_per_task=share, at_most=spans_left).select(
             "span_id", "ancestor_id", (F.col("_more") + reach).alias("depth")
         )

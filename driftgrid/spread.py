@@ -40,7 +40,7 @@ def salted_join(
     dim: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
     at_most: int | None = None,
 ) -> DataFrame:
     """Join on ``on``, splitting each key of ``fact`` with many rows over several tasks.
@@ -51,6 +51,7 @@ def salted_join(
     A caller that knows ``fact`` to have ``at_most`` so many rows saves the search for hot keys.
     """
     on = list(on)
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     if at_most is not None and at_most <= rows_per_task:
         return fact.join(dim, on, how)
     hot = store(
@@ -80,7 +81,7 @@ def lookup(
     dim: DataFrame | tuple[DataFrame, int],
     on: Sequence[str] | str,
     how: str = "inner",
-    broadcast_cells: int = BROADCAST_CELLS,
+    broadcast_cells: int | None = None,
 ) -> DataFrame:
     """Join a large table to a table with one row per key.
 
@@ -90,6 +91,6 @@ def lookup(
     """
     on = [on] if isinstance(on, str) else list(on)
     dim, cells = dim if isinstance(dim, tuple) else store_measured(dim)
-    if cells <= broadcast_cells:
+    if cells <= (BROADCAST_CELLS if broadcast_cells is None else broadcast_cells):
         return fact.join(F.broadcast(dim), on, how)
     return salted_join(fact, dim, on, how)
