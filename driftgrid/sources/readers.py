@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.operators.merge import merge_all
+from driftgrid.spread import lookup
 
 _PLACE = ("_file", "_start", "_row")
 
@@ -43,7 +44,7 @@ def read_metrics_csv(
     head, tail = declared[0], declared[-1]
     if wide and not multi_line:
         if isinstance(head.dataType, T.StringType):
-            rows = rows.withColumn(head.name, F.ltrim(F.col(head.name), F.lit("﻿")))
+            rows = rows.withColumn(head.name, F.ltrim(F.col(head.name), F.lit("\ufeff")))
         if isinstance(tail.dataType, T.StringType):
             rows = rows.withColumn(tail.name, F.rtrim(F.col(tail.name), F.lit("\r")))
     return rows
@@ -64,7 +65,7 @@ def drop_last_rows(rows: DataFrame) -> DataFrame:
     )
     last = placed.groupBy("_file").agg(F.max(F.struct("_start", "_row")).alias("_last"))
     last = last.select("_file", "_last._start", "_last._row")
-    return placed.join(last, list(_PLACE), "left_anti").select(*cols)
+    return lookup(placed, last, _PLACE, "left_anti").select(*cols)
 
 
 def merge_files(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -36,11 +36,11 @@ def read_anomaly_log(spark, path: str) -> DataFrame:
 def write_loss(loss: DataFrame, path: str, mode: str = "append") -> None:
     """Losses in one folder per slice.
 
-    Rows are gathered by slice and month first: a folder gets a few files of its own, and
-    a slice with most of the rows is still written by many tasks.
+    Rows are gathered by slice and day first: a task writes whole days of few slices, and a
+    slice with most of the rows is still written by many tasks.
     """
-    month = F.date_trunc("month", F.col("ts"))
-    loss.repartition(F.col("slice_id"), month).write.mode(mode).partitionBy("slice_id").parquet(path)
+    day = F.date_trunc("day", F.col("ts"))
+    loss.repartition(F.col("slice_id"), day).write.mode(mode).partitionBy("slice_id").parquet(path)
 
 
 def read_loss(spark, path: str) -> DataFrame:

@@ -146,11 +146,8 @@ def test_split_by_bounds(spark):
     assert sorted((r["slice_id"], r["n"]) for r in got) == [("a_[1]", 1), ("a_[2]", 2), ("b", 4), ("b", 5), ("c", 6)]
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-@pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 1000])
+@pytest.mark.parametrize("n,small_group", [(1, 10**6), (2, 10**6), (11, 10**6), (1000, 10**6), (1000, 0)])
 def test_exact_quantiles(spark, n, small_group):
-    if small_group == 0 and n < 1000:
-        pytest.skip("the sketch pass is for large groups")
     rng = np.random.default_rng(n)
     x = rng.normal(size=n).round(2)
     df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)] * 30, "g string, v double")
