@@ -27,8 +27,7 @@ def scaled_grid(spark: SparkSession, sf_dir: str, series: int = 4) -> DataFrame:
 
 
 def split_vectors(spark: SparkSession, sf_dir: str, series: int = 2, fit_on: str = "all") -> DataFrame:
-    grid = store(impute.impute(store(shape.to_grid(fx.gauge(spark, sf_dir, series)))))
-    return store(analyses.scaled_vectors(grid, *ranges(), fit_on))
+    return store(analyses.scaled_vectors(analyses.prepared_vectors(fx.gauge(spark, sf_dir, series)), *ranges(), fit_on))
 
 
 # Two series have a closed form: the minor axis of a 2 x 2 covariance matrix.
@@ -402,7 +401,8 @@ _WAVE_ROWS = [
 
 
 def _wave_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = shape.first_series(store(impute.impute(store(shape.to_grid(fx.gauge(spark, sf_dir))))))
+    means = store(shape.to_grid(fx.gauge(spark, sf_dir)))
+    grid = store(impute.impute(means, only=shape.lowest_series(means)))
     scaled = scale.apply_scaler(grid, scale.fit_minmax(grid))
     return store(split.restart_positions(split.tag_ranges(scaled, *ranges())))
 

@@ -830,7 +830,8 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of fifty over the first series; chunks of 64 rows, so most windows cross a border."""
     from driftgrid.operators.windows import sliding_windows as slide
 
-    grid = store(shape.first_series(impute.impute(shape.to_grid(fx.gauge(spark, sf_dir)))))
+    means = store(shape.to_grid(fx.gauge(spark, sf_dir)))
+    grid = store(impute.impute(means, only=shape.lowest_series(means)))
     found = slide(split.split_ratio(grid, chunk_rows=64), 50, chunk_rows=64)
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
     return found.select(

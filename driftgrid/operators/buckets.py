@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.arrays import parse_array
+from driftgrid.functions.arrays import pad_array, parse_array
 from driftgrid.operators.impute import impute
 from driftgrid.operators.pca import fit_pca, score_vectors, squared_sum
-from driftgrid.operators.shape import pad_to_longest, to_bucket_grid
+from driftgrid.operators.shape import max_len, to_bucket_grid
 from driftgrid.session import store
+from driftgrid.spread import lookup
 
 BUCKET = ("slice_id", "bucket")
 
@@ -17,21 +18,35 @@ BUCKET = ("slice_id", "bucket")
 def bucket_grid(df: DataFrame, arr: str = "bucket_counts") -> DataFrame:
     """Gap-free grid of zero-padded bucket arrays from samples with bucket text.
 
-    Padding comes before any split, so every array of a slice has one length.
+    Padding comes before any split, so every array of a slice has one length.  The longest
+    array is found among the samples, before the gaps are filled.
     """
-    filled = store(impute(store(to_bucket_grid(df, arr)), rows=1, value=arr))
-    return pad_to_longest(filled.withColumn(arr, parse_array(F.col(arr))), arr)
+    cells = store(to_bucket_grid(df, arr))
+    longest = max_len(cells.withColumn(arr, parse_array(F.col(arr))), arr)
+    filled = impute(cells, rows=1, value=arr).withColumn(arr, parse_array(F.col(arr)))
+    padded = lookup(filled, longest, "slice_id")
+    return padded.withColumn(arr, pad_array(F.col(arr), F.col("max_len"))).drop("max_len")
 
 
-def bucket_vectors(grid: DataFrame, arr: str = "bucket_counts") -> DataFrame:
-    """For each bucket and time the counts of all series as one vector."""
-    carried = [c for c in ("split",) if c in grid.columns]
-    tall = grid.select("slice_id", "chunk", *carried, "ts", "series_id", F.posexplode(arr).alias("bucket", "value"))
-    cells = F.array_sort(F.collect_list(F.struct("series_id", "value")))
+def bucket_matrices(grid: DataFrame, arr: str = "bucket_counts") -> DataFrame:
+    """For each time the arrays of all series, gathered where the grid rows already are."""
+    cells = F.array_sort(F.collect_list(F.struct("series_id", arr)))
     return (
-        tall.groupBy("slice_id", "chunk", *carried, "ts", "bucket")
+        grid.groupBy("slice_id", "chunk", "ts")
         .agg(cells.alias("_cells"))
-        .select("slice_id", "chunk", *carried, "ts", "bucket", F.col("_cells.value").alias("x"))
+        .select("slice_id", "chunk", "ts", F.col(f"_cells.{arr}").alias("cells"))
+    )
+
+
+def bucket_vectors(matrices: DataFrame) -> DataFrame:
+    """For each bucket and time the counts of all series as one vector."""
+    carried = [c for c in ("split",) if c in matrices.columns]
+    turned = F.transform(
+        F.sequence(F.lit(0), F.size(F.col("cells")[0]) - 1),
+        lambda b: F.transform("cells", lambda c: c[b]),
+    )
+    return matrices.filter(F.size(F.col("cells")[0]) > 0).select(
+        "slice_id", "chunk", *carried, "ts", F.posexplode(turned).alias("bucket", "x")
     )
 
 

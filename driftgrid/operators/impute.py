@@ -72,15 +72,22 @@ def bfill(grid: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def impute(grid: DataFrame, rows: int = 3, value: str = "value", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def impute(
+    grid: DataFrame,
+    rows: int = 3,
+    value: str = "value",
+    chunk_rows: int = CHUNK_ROWS,
+    only: DataFrame | None = None,
+) -> DataFrame:
     """Dense, gap-free grid from a sparse one: rolling mean, then forward, then backward fill.
 
     ``rows=1`` leaves the rolling mean out, which suits values that are not numbers.
+    ``only`` (slice_id, series_id) names the series to produce, on the axis of all of them.
     The fills share one layout by (slice, chunk).  The known cells are moved there once;
     the dense rows are made there, sorted once and filled, and are never shuffled.  The
     carried value of a chunk is its last known cell: the rolling mean of a gap ends at it.
     """
-    known, axis, lists = grid_cells(grid, value, chunk_rows)
+    known, axis, lists = grid_cells(grid, value, chunk_rows, only)
     chunks = axis.select("slice_id", "chunk").distinct()
     axis = with_halo(axis, rows - 1, chunk_rows) if rows > 1 else axis.withColumn("halo", F.lit(False))
     cells = (

@@ -35,6 +35,23 @@ def apply_scaler(grid: DataFrame, model: DataFrame, keys: Sequence[str] = SERIES
     return joined.withColumn(value, (F.col(value) - F.col("center")) / F.col("scale")).select(*grid.columns)
 
 
+def fit_vectors(vectors: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
+    """Standard scaler of every position of the vectors, as two arrays per key."""
+    tall = vectors.select(*keys, F.posexplode("x").alias("series_id", "value"))
+    stats = fit_standard(tall, [*keys, "series_id"])
+    cells = F.array_sort(F.collect_list(F.struct("series_id", "center", "scale")))
+    return stats.groupBy(*keys).agg(cells.alias("_cells")).select(
+        *keys, F.col("_cells.center").alias("center"), F.col("_cells.scale").alias("scale")
+    )
+
+
+def scale_vectors(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
+    """Standardise vectors in place: no row is taken apart or moved."""
+    joined = lookup(vectors, model, list(keys))
+    centred = F.zip_with("x", "center", lambda x, c: x - c)
+    return joined.withColumn("x", F.zip_with(centred, "scale", lambda x, s: x / s)).select(*vectors.columns)
+
+
 def fit_features(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of the feature columns of a flat table: one row of numbers."""
     row = df.agg(

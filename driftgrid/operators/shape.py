@@ -120,14 +120,18 @@ def series_lists(grid: DataFrame) -> DataFrame:
 
 
 def grid_cells(
-    grid: DataFrame, value: str = "value", chunk_rows: int = CHUNK_ROWS
+    grid: DataFrame, value: str = "value", chunk_rows: int = CHUNK_ROWS, only: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, tuple[DataFrame, int]]:
     """The known cells of a grid, its time axis, and the series of each slice.
 
     The last two are small beside the grid, serve several steps, and are written out.
+    ``only`` (slice_id, series_id) limits the series; the axis still has the times of all.
     """
     known = grid.filter(F.col(value).isNotNull()).select("slice_id", "ts", "series_id", value)
-    return known, store(time_axis(known, chunk_rows=chunk_rows)), store_measured(series_lists(known))
+    axis = store(time_axis(known, chunk_rows=chunk_rows))
+    if only is not None:
+        known = lookup(known, only.select("slice_id", "series_id").distinct(), ["slice_id", "series_id"], "left_semi")
+    return known, axis, store_measured(series_lists(known))
 
 
 def frame_of(axis: DataFrame, lists: tuple[DataFrame, int]) -> DataFrame:
@@ -164,10 +168,14 @@ def min_length(grid: DataFrame, rows: int = 50) -> DataFrame:
     return lookup(grid, long_enough, "slice_id", "left_semi")
 
 
-def first_series(grid: DataFrame) -> DataFrame:
+def lowest_series(grid: DataFrame) -> DataFrame:
     """The lowest series number of each slice."""
-    lowest = grid.groupBy("slice_id").agg(F.min("series_id").alias("series_id"))
-    return lookup(grid, lowest, ["slice_id", "series_id"], "left_semi")
+    return grid.groupBy("slice_id").agg(F.min("series_id").alias("series_id"))
+
+
+def first_series(grid: DataFrame) -> DataFrame:
+    """The rows of the lowest series number of each slice."""
+    return lookup(grid, lowest_series(grid), ["slice_id", "series_id"], "left_semi")
 
 
 def with_position(df: DataFrame, keys: Sequence[str] = ("slice_id",), ts: str = "ts") -> DataFrame:

@@ -16,26 +16,36 @@ from driftgrid.session import store
 Range = tuple[Column, Column]
 
 
-def prepared_grid(samples: DataFrame, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
-    """Sparse samples (slice_id, ts, series_id, value) to a gap-free grid of the slices long enough.
+def long_enough(samples: DataFrame, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
+    """Sparse samples (slice_id, ts, series_id, value) to the means of the slices long enough.
 
-    The samples are read once: their means are written out, and so is the grid, since both
-    are used several times.
+    The samples are read once: their means are written out, since several steps use them.
     """
     grid = shape.min_length(store(shape.to_grid(samples)), rows)
-    if cutoff is not None:
-        grid = prune_one_sided(grid, cutoff)
-    return store(impute(grid))
+    return grid if cutoff is None else prune_one_sided(grid, cutoff)
+
+
+def prepared_grid(samples: DataFrame, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
+    """Gap-free grid of the slices long enough, in long form."""
+    return impute(long_enough(samples, rows, cutoff))
+
+
+def prepared_vectors(samples: DataFrame, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
+    """The same grid as one vector per time, written out.
+
+    The vectors are gathered where the filled rows are made, so the dense grid is neither
+    shuffled nor stored row by row.
+    """
+    return store(to_vectors(prepared_grid(samples, rows, cutoff)))
 
 
 def scaled_vectors(
-    grid: DataFrame, train: Range, test: Range, fit_on: str = "all", closed: str = "right"
+    vectors: DataFrame, train: Range, test: Range, fit_on: str = "all", closed: str = "right"
 ) -> DataFrame:
     """Standardised vectors of both splits, for the slices that have rows in each."""
-    tagged = split.drop_empty(split.tag_ranges(grid, train, test, closed))
-    source = grid if fit_on == "all" else tagged.filter("split = 'train'")
-    scaled = scale.apply_scaler(tagged, scale.fit_standard(source))
-    return to_vectors(scaled)
+    tagged = split.drop_empty(split.tag_ranges(vectors, train, test, closed))
+    source = vectors if fit_on == "all" else tagged.filter("split = 'train'")
+    return scale.scale_vectors(tagged, scale.fit_vectors(source))
 
 
 def metric_pca(
@@ -49,8 +59,7 @@ def metric_pca(
     cutoff: Column | None = None,
 ) -> DataFrame:
     """Reconstruction loss of every train and test time of every slice."""
-    grid = prepared_grid(samples, cutoff=cutoff)
-    vectors = store(scaled_vectors(grid, train, test, fit_on))
+    vectors = store(scaled_vectors(prepared_vectors(samples, cutoff=cutoff), train, test, fit_on))
     model = store(pca.fit_pca(vectors.filter("split = 'train'"), k=k, target=target, plus=plus))
     return pca.score_losses(vectors, model).select("slice_id", "split", "ts", "loss")
 
@@ -70,16 +79,16 @@ def metric_root_causes(
     """
     if slices is not None:
         samples = split.only_slices(samples, slices)
-    grid = prepared_grid(samples)
-    vectors = store(scaled_vectors(grid, train, test, fit_on="train"))
+    means = store(long_enough(samples))
+    vectors = store(to_vectors(impute(means)))
+    vectors = store(scaled_vectors(vectors, train, test, fit_on="train"))
     model = pca.fit_pca(vectors.filter("split = 'train'"), k=components)
-    return pca.explain(
-        vectors.filter("split = 'test'"), model, shape.series_lists(grid), threshold, k
-    )
+    return pca.explain(vectors.filter("split = 'test'"), model, shape.series_lists(means), threshold, k)
 
 
 def _minmax_first_series(samples: DataFrame) -> DataFrame:
-    grid = shape.first_series(prepared_grid(samples))
+    means = long_enough(samples)
+    grid = store(impute(means, only=shape.lowest_series(means)))
     return scale.apply_scaler(grid, scale.fit_minmax(grid))
 
 
@@ -115,8 +124,8 @@ def histogram_pca(
     samples: DataFrame, train: Range, test: Range, k: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Loss per time and overall error per split, from one model per slice and bucket."""
-    grid = buckets.bucket_grid(samples)
-    tagged = split.drop_empty(split.tag_ranges(grid, train, test, closed="both"))
+    matrices = store(buckets.bucket_matrices(buckets.bucket_grid(samples)))
+    tagged = split.drop_empty(split.tag_ranges(matrices, train, test, closed="both"))
     vectors = store(buckets.bucket_vectors(tagged))
     residuals = store(buckets.bucket_residuals(vectors, buckets.fit_bucket_pca(vectors, k)))
     return buckets.loss_mse(residuals), buckets.overall_mse(residuals)
