@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftgrid import spread
 from driftgrid.operators.vectors import gram, matrix_of
 from driftgrid.session import store
-from driftgrid.spread import lookup
+from driftgrid.spread import lookup, store_measured
 
 
 def _type_of(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -101,36 +102,54 @@ def model_rows(model: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFra
     )
 
 
+def _apply(rows: pd.DataFrame, kept: Sequence[str], mean: np.ndarray, axes: np.ndarray) -> pd.DataFrame:
+    """Scores and residuals of a block of vectors that share a model."""
+    centred = np.stack(rows["x"].to_numpy()) - mean
+    scores = centred @ axes.T
+    return rows[list(kept)].assign(scores=list(scores), residual=list(centred - scores @ axes))
+
+
+def _model_arrays(row) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.asarray(row["mean"], dtype=float)
+    return mean, np.asarray(row["loadings"], dtype=float).reshape(int(row["k"]), len(mean))
+
+
 def score_vectors(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
     """Component scores and residual of every vector under its key's model.
 
-    A chunk of a few thousand vectors meets one copy of its model and is multiplied at once.
-    Vectors without a model are left out.
+    Models are written out and measured.  A small set of them goes to every task once, and
+    the vectors stay where they are.  A larger one is co-grouped: a chunk of a few thousand
+    vectors meets one copy of its model.  Vectors without a model are left out.
     """
     keys = list(keys)
     place = [*keys, "chunk"]
-    carried = [c for c in vectors.columns if c not in (*place, "x")]
-    schema = ", ".join([*_type_of(vectors, [*place, *carried]), "scores array<double>", "residual array<double>"])
+    kept = [c for c in vectors.columns if c != "x"]
+    schema = ", ".join([*_type_of(vectors, kept), "scores array<double>", "residual array<double>"])
+    models, cells = store_measured(model.select(*keys, "k", "mean", "loadings"))
 
-    def score(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        out = rows[[*place, *carried]].copy()
-        if rows.empty or models.empty:
+    if cells <= spread.BROADCAST_CELLS:
+        known = {tuple(row[k] for k in keys): _model_arrays(row) for row in models.collect()}
+        shared = vectors.sparkSession.sparkContext.broadcast(known)
+
+        def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, rows in batch.groupby(keys, sort=False):
+                    if key in shared.value:
+                        yield _apply(rows, kept, *shared.value[key])
+
+        return vectors.mapInPandas(score_batches, schema)
+
+    def score_chunk(rows: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or one.empty:
             nothing = pd.Series([], dtype=object)
-            return out.iloc[:0].assign(scores=nothing, residual=nothing)
-        one = models.iloc[0]
-        mean = np.asarray(one["mean"], dtype=float)
-        axes = np.asarray(one["loadings"], dtype=float).reshape(int(one["k"]), len(mean))
-        centred = np.stack(rows["x"].to_numpy()) - mean
-        scores = centred @ axes.T
-        out["scores"] = list(scores)
-        out["residual"] = list(centred - scores @ axes)
-        return out
-
-    blocks = lookup(vectors.select(*place).distinct(), model.select(*keys, "k", "mean", "loadings"), keys)
+            return rows[kept].iloc[:0].assign(scores=nothing, residual=nothing)
+        return _apply(rows, kept, *_model_arrays(one.iloc[0]))
+
+    blocks = lookup(vectors.select(*place).distinct(), (models, cells), keys)
     # Own names on the model side: both sides come from the same vectors.
     blocks = blocks.select(*[F.col(c).alias(f"_{c}") for c in place], "k", "mean", "loadings")
     sides = vectors.groupBy(*place).cogroup(blocks.groupBy(*[f"_{c}" for c in place]))
-    return sides.applyInPandas(score, schema)
+    return sides.applyInPandas(score_chunk, schema)
 
 
 def project(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
