@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.fixtures import moment, r, table, to_scaled, with_sql
 from checks.registry import check
-from driftgrid.operators import buckets, iforest, impute, labels, pca, scale, shape, split, thresholds, vectors, wavelet, windows
+from driftgrid.operators import buckets, iforest, impute, labels, pca, scale, shape, split, thresholds, vectors, wavelet
 from driftgrid.plans import analyses
 from driftgrid.session import fresh_path, store
 from driftgrid.sources import writers

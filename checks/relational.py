@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.fixtures import moment, r, table, with_sql
 from checks.registry import check
-from driftgrid.axis import time_axis
 from driftgrid.functions import arrays, attrs, times
 from driftgrid.operators import clean, impute, labels, merge, quality, scale, shape, split, traces
 from driftgrid.session import fresh_path, store
-from driftgrid.sources import readers, schemas, writers
+from driftgrid.sources import readers, writers
 
 # --- sources and sinks -------------------------------------------------------------------
 
@@ -672,9 +671,6 @@ def apply_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.apply_scaler(grid, scale.fit_minmax(grid)).select("slice_id", "ts", "series_id", r("value").alias("value"))
 
 
-_FLAGS = 'select event_id, ts, event_type as slice_id, \'train\' as split, "value" as loss from events'
-
-
 @check(
     "sigma_threshold",
     """with loss as (select event_type as slice_id, case when ts < timestamp '2024-01-10' then 'train' else 'test' end as split, event_id, "value" as loss from events)
@@ -720,9 +716,6 @@ def quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantile(df, 0.1, keys=["slice_id"]).withColumn("threshold", r("threshold"))
 
 
-_LOT = "list_transform(range(cast(o_custkey % 6 as int)), x -> 1)"
-
-
 @check("longest_array", "select o_orderstatus as slice_id, cast(max(o_custkey % 6) as int) as max_len from orders group by 1")
 def longest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgrid.axis import time_axis, with_halo
-from driftgrid.operators import impute, pca, shape
+from driftgrid.operators import impute, shape
 from driftgrid.plans import analyses
 from driftgrid.spread import lookup, salted_join
 from tests.helpers import START, grid_frame, matrix_of, pandas_impute, sparse_matrix
