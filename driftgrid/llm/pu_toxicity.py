@@ -21,33 +21,40 @@ from pyspark.sql import types as T
 from driftgrid.llm.common import ready
 
 #: Expected sample sizes; rows are chosen by a hash of their id.
-MOST_POSITIVE, MOST_UNLABELLED = 8_000, 16_000
-#: Hashed features of a text: its distinct words.
-SLOTS = 1 << 20
-#: Features that training looks at: the most telling ones, in at least LEAST_TEXTS positive texts.
-FEATURES, LEAST_TEXTS = 2_000, 5
-MODELS, STEPS, RATE, DECAY = 3, 300, 0.1, 1e-3
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 10_000
+#: Hashed features of a text: its distinct words, and their first letters, which inflected forms share.
+SLOTS, PREFIXES = 1 << 20, (4, 5, 6)
+#: Features that training looks at: those most frequent in positive texts beyond chance, in at least LEAST_TEXTS of them.
+FEATURES, LEAST_TEXTS = 500, 5
+#: Standard deviations by which the share of a feature in positive texts must stand out.
+TELLING = 5.0
+MODELS, STEPS, RATE, DECAY = 3, 400, 0.1, 1e-4
 CACHED = 300_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def features(word: str) -> tuple[int, ...]:
+    starts = {word[:n] for n in PREFIXES if n < len(word)}
+    return zlib.crc32(word.encode()) % SLOTS, *(zlib.crc32(f"{x}*".encode()) % SLOTS for x in starts)
+
+
 class Slots:
-    """Text -> the sorted slots of its distinct lower-case words."""
+    """Text -> the sorted slots of its distinct lower-case words and their first letters."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = set(WORDS.findall(text.lower())) if text else set()
         if len(self.known) + len(words) > CACHED:
             self.known = {}
-        out = []
+        known, out = self.known, set()
         for w in words:
-            at = self.known.get(w)
+            at = known.get(w)
             if at is None:
-                at = self.known[w] = zlib.crc32(w.encode()) % SLOTS
-            out.append(at)
-        return np.unique(np.array(out, np.int32))
+                at = known[w] = features(w)
+            out.update(at)
+        return np.sort(np.fromiter(out, np.int32, len(out)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -65,6 +72,12 @@ def chosen(rows: DataFrame, most: int, count: int, doc_id: str = "doc_id") -> Da
     return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col(doc_id)), F.lit(grain)) < int(grain * most / count))
 
 
+def gathered(sample: DataFrame) -> list[np.ndarray]:
+    """The slots of a bounded sample, as views of one Arrow column."""
+    column = sample.select(slots_of("text").alias("slots")).toArrow().column(0)
+    return [c.values.to_numpy()[a:b] for c in column.chunks for o in [c.offsets.to_numpy()] for a, b in zip(o, o[1:])]
+
+
 def risk_gradient(margin_p: np.ndarray, margin_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
     """The risk and its derivative by the margins of positive and unlabelled texts (logistic loss).
 
@@ -84,12 +97,12 @@ def risk_gradient(margin_p: np.ndarray, margin_u: np.ndarray, prior: float) -> t
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, weights, bias) of the mean of MODELS classifiers, each on its part of the unlabelled texts."""
-    flat = lambda rows: np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+    flat = lambda rows: np.concatenate([*rows, np.empty(0, np.int32)])
     in_p, in_u = (np.bincount(flat(rows), minlength=SLOTS) for rows in (positive, unlabelled))
     share_p, share_u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
     telling = (share_p - share_u) / np.sqrt(share_u * (1 - np.minimum(share_u, 0.999)) / max(len(positive), 1))
-    telling[in_p < LEAST_TEXTS] = 0
-    slots = np.sort(np.argsort(-np.abs(telling), kind="stable")[:FEATURES])
+    telling[(in_p < LEAST_TEXTS) | (telling < TELLING)] = 0
+    slots = np.sort(np.argsort(-telling, kind="stable")[:FEATURES])
     slots = slots[telling[slots] != 0]
     place = np.full(SLOTS, -1)
     place[slots] = np.arange(len(slots))
@@ -139,8 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n_docs = rows.count()
     positive = rows.join(chosen(confirmed, MOST_POSITIVE, toxic), "doc_id", "left_semi")
     unlabelled = chosen(rows, MOST_UNLABELLED, n_docs).join(confirmed, "doc_id", "left_anti")
-    get = lambda df: [np.array(x, np.int32) for x in df.select(slots_of("text").alias("slots")).toArrow().column(0).to_pylist()]
-    one, other = get(positive), get(unlabelled)
+    one, other = gathered(positive), gathered(unlabelled)
     if not one or not other:
         return weights, -10.0
     slots, w, bias = train(one, other, prior)
