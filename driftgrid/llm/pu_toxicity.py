@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     ``labels`` holds (doc_id, 1 or 0); null ids and null labels are passed over, an id with several
     labels takes the largest.  The class prior is the share of positives among the labelled ids.
-    Rows of ``docs`` that are not confirmed positive are the unlabelled text.  Without positives every text
+    A sample of all rows of ``docs``, labels unseen, is the unlabelled text.  Without positives every text
     gets the same low score.
     """
     ready(docs.sparkSession)
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     confirmed = marks.filter("label = 1").select("doc_id")
     n_docs = rows.count()
     positive = rows.join(chosen(confirmed, MOST_POSITIVE, toxic), "doc_id", "left_semi")
-    unlabelled = chosen(rows, MOST_UNLABELLED, n_docs).join(confirmed, "doc_id", "left_anti")
+    unlabelled = chosen(rows, MOST_UNLABELLED, n_docs)  # the confirmed ones among them too: the prior holds for all text
     one, other = gathered(positive), gathered(unlabelled)
     if not one or not other:
         return weights, -10.0
