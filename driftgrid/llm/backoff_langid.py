@@ -38,6 +38,11 @@ def grams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
+def every_gram(word: str) -> list[str]:
+    framed = f"<{word}>"
+    return [framed[i : i + n] for n in ORDERS for i in range(len(framed) - n + 1)]
+
+
 def counted(rows: Counter) -> pa.RecordBatch:
     keys = list(rows)
     return pa.RecordBatch.from_arrays(
@@ -64,16 +69,21 @@ def word_counts(batches):
 
 
 def gram_counts(batches):
-    seen = Counter()
+    by_lang: dict[str, dict[str, int]] = {}
+
+    def out():
+        return [counted(Counter({(k, len(g), g): n for g, n in c.items()})) for k, c in by_lang.items()]
+
     for b in batches:
         for lang, word, uses in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
-            for n in ORDERS:
-                for g in grams(word, n):
-                    seen[lang, n, g] += uses
-        if len(seen) > HELD:
-            yield counted(seen)
-            seen = Counter()
-    yield counted(seen)
+            seen = by_lang.setdefault(lang, {})
+            get = seen.get
+            for g in every_gram(word):
+                seen[g] = get(g, 0) + uses
+        if sum(map(len, by_lang.values())) > HELD:
+            yield from out()
+            by_lang.clear()
+    yield from out()
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", entries: int = ENTRIES) -> dict:
@@ -113,13 +123,6 @@ def scorer(model: dict, cached: int = HELD):
     langs, tables = model["langs"], model["tables"]
     find = re.compile(WORDS).findall
 
-    def unseen(word: str) -> np.ndarray:
-        for step, n in enumerate(ORDERS):
-            rows = [r for g in grams(word, n) if (r := tables[n].get(g)) is not None]
-            if rows:
-                return np.mean(rows, axis=0) + STEP * (step + 1)
-        return np.zeros(len(langs), np.float32)
-
     if langs:
         first = tables[0]
         vocabulary = {w: i for i, w in enumerate(first)}
@@ -127,26 +130,46 @@ def scorer(model: dict, cached: int = HELD):
         if first:
             matrix[: len(first)] = np.stack(list(first.values()))
         known = dict(vocabulary)
+        # All n-grams in one matrix, each with the weight of its step; row 0 is for words without any known one.
+        place = {n: {g: i + 1 for i, g in enumerate(tables[n])} for n in ORDERS}
+        shift, shelf = 0, [np.zeros((1, len(langs)), np.float32)]
+        for step, n in enumerate(ORDERS):
+            place[n] = {g: i + shift for g, i in place[n].items()}
+            shift += len(tables[n])
+            if tables[n]:
+                shelf.append(np.stack(list(tables[n].values())) + np.float32(STEP * (step + 1)))
+        shelf = np.concatenate(shelf)
+
+    def rows_of(word: str) -> list[int]:
+        for n in ORDERS:
+            get = place[n].get
+            rows = [r for g in grams(word, n) if (r := get(g))]
+            if rows:
+                return rows
+        return [0]
+
+    def learn(words: list[str]) -> None:
+        """Give unseen words their rows: the mean of their longest known n-grams."""
+        rows = [rows_of(w) for w in words]
+        size = np.array([len(r) for r in rows])
+        flat = [x for r in rows for x in r]
+        at = len(known)
+        matrix[at : at + len(words)] = np.add.reduceat(shelf[flat], np.concatenate([[0], size[:-1].cumsum()]), axis=0) / size[:, None]
+        known.update(zip(words, range(at, at + len(words))))
 
     def score(text: str | None) -> tuple[str, float]:
         nonlocal known
         words = find(text.lower()) if text else []
         if not words or not langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        get, total = known.get, np.zeros(len(langs))
+        total = np.zeros(len(langs))
         for start in range(0, len(words), 100_000):  # a very long text in pieces, so that the cache holds one
             part = words[start : start + 100_000]
             if len(known) + len(part) > len(matrix):
                 known = dict(vocabulary)
-                get = known.get
-            rows = []
-            for w in part:
-                at = get(w)
-                if at is None:
-                    at = known[w] = len(known)
-                    matrix[at] = unseen(w)
-                rows.append(at)
-            total += matrix[rows].sum(axis=0, dtype=np.float64)
+            if missing := list({w for w in part if w not in known}):
+                learn(missing)
+            total += matrix[list(map(known.__getitem__, part))].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
