@@ -49,18 +49,15 @@ def time_axis(
 
 
 def with_halo(df: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Repeat the last ``rows`` positions of each chunk at the head of the next one.
+    """Repeat each row in the later chunks that reach back to it by ``rows`` positions.
 
-    The repeated rows carry ``halo = true`` and the number of the chunk they were added to.
+    The repeated rows carry ``halo = true`` and the number of the chunk they were added to.  A frame longer
+    than a chunk repeats a row in several of them.
     """
-    if rows > chunk_rows:
-        raise ValueError(f"a frame of {rows} rows does not fit a chunk of {chunk_rows}")
-    late = F.pmod(F.col("pos"), F.lit(chunk_rows)) >= chunk_rows - rows
-    own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("halo"))
-    nxt = F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("halo"))
+    last = F.floor((F.col("pos") + rows) / chunk_rows).cast("bigint")
     return (
-        df.withColumn("_place", F.explode(F.when(late, F.array(own, nxt)).otherwise(F.array(own))))
-        .drop("chunk")
-        .select("*", F.col("_place.chunk").alias("chunk"), F.col("_place.halo").alias("halo"))
-        .drop("_place")
+        df.withColumn("_own", F.col("chunk"))
+        .withColumn("chunk", F.explode(F.sequence(F.col("_own"), F.greatest(last, F.col("_own")))))
+        .withColumn("halo", F.col("chunk") != F.col("_own"))
+        .drop("_own")
     )

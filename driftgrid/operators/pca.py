@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid import spread
-from driftgrid.operators.vectors import gram, matrix_of
+from driftgrid.operators.vectors import centre_of, gram, matrix_of
 from driftgrid.session import store
 from driftgrid.spread import lookup, store_measured
 
@@ -45,6 +45,7 @@ def fit_pca(
         n = sums[0, 0]
         mean = sums[0, 1:] / n
         cov = sums[1:, 1:] / n - np.outer(mean, mean)
+        mean = mean + centre_of(group)
         values, axes = np.linalg.eigh(cov)
         values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1].T
         total = values.sum()
@@ -125,9 +126,9 @@ def score_vectors(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("
     place = [*keys, "chunk"]
     kept = [c for c in vectors.columns if c != "x"]
     schema = ", ".join([*_type_of(vectors, kept), "scores array<double>", "residual array<double>"])
-    models, cells = store_measured(model.select(*keys, "k", "mean", "loadings"))
+    models, size = store_measured(model.select(*keys, "k", "mean", "loadings"))
 
-    if cells <= spread.BROADCAST_CELLS:
+    if size <= spread.BROADCAST_BYTES:
         known = {tuple(row[k] for k in keys): _model_arrays(row) for row in models.collect()}
         shared = vectors.sparkSession.sparkContext.broadcast(known)
 
@@ -145,7 +146,7 @@ def score_vectors(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("
             return rows[kept].iloc[:0].assign(scores=nothing, residual=nothing)
         return _apply(rows, kept, *_model_arrays(one.iloc[0]))
 
-    blocks = lookup(vectors.select(*place).distinct(), (models, cells), keys)
+    blocks = lookup(vectors.select(*place).distinct(), (models, size), keys)
     # Own names on the model side: both sides come from the same vectors.
     blocks = blocks.select(*[F.col(c).alias(f"_{c}") for c in place], "k", "mean", "loadings")
     sides = vectors.groupBy(*place).cogroup(blocks.groupBy(*[f"_{c}" for c in place]))

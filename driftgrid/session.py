@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -53,7 +54,11 @@ def local_session(cores: str = "8", name: str = "driftgrid", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    A temporary folder serves a session on one machine that names none; on a cluster executors would not see it, so
+    there a folder must be named.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -62,6 +67,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftgrid-"))
         current = sc.getCheckpointDir()
     return current

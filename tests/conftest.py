@@ -20,5 +20,5 @@ def no_broadcast(monkeypatch):
     """Every lookup takes the salted path, and a key with more than 20 rows counts as hot."""
     from driftgrid import spread
 
-    monkeypatch.setattr(spread, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(spread, "ROWS_PER_TASK", 20)

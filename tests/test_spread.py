@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgrid.axis import time_axis, with_halo
-from driftgrid.operators import impute, shape
+from driftgrid.operators import impute, shape, windows
 from driftgrid.plans import analyses
 from driftgrid.spread import lookup, salted_join
 from tests.helpers import START, grid_frame, matrix_of, pandas_impute, sparse_matrix
@@ -47,7 +47,7 @@ def test_lookup_beyond_the_broadcast_limit(spark):
     fact = spark.range(500).select((F.col("id") % 5).alias("k"), "id")
     dim = spark.range(3).select(F.col("id").alias("k"), F.array(F.lit(1.0), F.lit(2.0)).alias("a"))
     small = lookup(fact, dim, "k").count()
-    assert small == lookup(fact, dim, "k", broadcast_cells=2).count() == 300
+    assert small == lookup(fact, dim, "k", broadcast_bytes=2).count() == 300
     assert "BroadcastHashJoin" in lookup(fact, dim, "k")._jdf.queryExecution().toString()
 
 
@@ -63,8 +63,45 @@ def test_halo_repeats_the_end_of_each_chunk(spark):
     df = spark.range(20).select(F.col("id").alias("pos"), F.floor(F.col("id") / 8).alias("chunk"))
     rows = with_halo(df, 2, 8).filter("halo").orderBy("pos").collect()
     assert [(r["pos"], r["chunk"]) for r in rows] == [(6, 1), (7, 1), (14, 2), (15, 2)]
+    far = with_halo(df, 9, 8).filter("halo")
+    assert sorted((r["pos"], r["chunk"]) for r in far.collect()) == sorted(
+        (p, c) for p in range(20) for c in range(p // 8 + 1, (p + 9) // 8 + 1)
+    )
+
+
+def test_windows_longer_than_a_chunk(spark):
+    rows = [("a", "train", START + dt.timedelta(minutes=i), float(i), i, i // 8) for i in range(50)]
+    df = spark.createDataFrame(rows, "slice_id string, split string, ts timestamp_ntz, value double, pos bigint, chunk bigint")
+    got = windows.sliding_windows(df, length=20, chunk_rows=8).orderBy("pos").collect()
+    assert [(r["pos"], r["x"], r["y"]) for r in got] == [(p, [float(i) for i in range(p - 20, p)], float(p)) for p in range(20, 50)]
+
+
+def test_long_texts_are_not_broadcast(spark):
+    fact = spark.range(1000).select(F.col("id").alias("k"))
+    dim = spark.range(1000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    joined = lookup(fact, dim, "k")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("text")[0]
+    assert joined.count() == 1000
+
+
+def test_null_keys_of_a_left_join_stay_out_of_it(spark):
+    fact = spark.range(5000).select("id", F.when(F.col("id") < 10, F.col("id")).alias("k"))
+    dim = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    joined = salted_join(fact, dim, ["k"], "left", rows_per_task=100)
+    assert joined.count() == 5000 and joined.filter("v = 1").count() == 10
+    sizes = joined.rdd.glom().map(len).collect()
+    assert max(sizes) < 2500
+
+
+def test_a_cluster_needs_a_named_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from driftgrid import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError):
-        with_halo(df, 9, 8)
+        session.shared_folder(fake)
 
 
 @pytest.mark.parametrize("chunk_rows", [2, 5, 4096])
@@ -101,7 +138,7 @@ def test_pipeline_without_broadcasts_gives_the_same(spark, monkeypatch):
     one = analyses.metric_pca(samples, *ranges, k=1).toPandas().sort_values(order)
     from driftgrid import spread
 
-    monkeypatch.setattr(spread, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(spread, "ROWS_PER_TASK", 20)
     two = analyses.metric_pca(samples, *ranges, k=1).toPandas().sort_values(order)
     assert one[order].values.tolist() == two[order].values.tolist()
