@@ -228,10 +228,11 @@ SPANS = """spans as (
   from events)"""
 
 
-def hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_metrics(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> DataFrame:
+    """One metric per hour with an event, or with an event of one type."""
+    events = table(spark, sf_dir, "events")
     return (
-        table(spark, sf_dir, "events")
-        .filter(F.col("event_type") == "view")
+        (events if event_type is None else events.filter(F.col("event_type") == event_type))
         .groupBy(hour().alias("ts"))
         .agg(F.avg("value").alias("value"), F.count("*").alias("n"))
         .withColumn("kind", F.lit("metric"))
@@ -240,7 +241,8 @@ def hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 METRICS = """metrics as (
   select date_trunc('hour', ts) as ts, avg("value") as v, count(*) as n, 'metric' as kind
-  from events where event_type = 'view' group by 1)"""
+  from events group by 1)"""
+VIEW_METRICS = METRICS.replace("from events", "from events where event_type = 'view'")
 
 
 # Anomaly log: half an hour after every error with a high value.

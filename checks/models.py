@@ -499,6 +499,12 @@ def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(scale.scale_features(rows, scale.fit_features(rows.filter("split = 'train'"), _FEATURES)))
 
 
+_LABELS = "limits as (select quantile_cont(score, 0.9) as t from scores join feats using (span_id) where split = 'train')"
+_LABELLED = f"""select s.span_id, {_HASHED.replace("span_id", "s.span_id")} as split, round(score, 6) as score,
+    cast(case when score is null then null when score > t then -1 else 1 end as int) as anomaly, case when score is null then 'no metric' end as note
+    from spans s left join scores using (span_id), limits"""
+
+
 @check(
     "forest_nodes",
     with_sql(*_FOREST) + "select cast(tree as int) as tree, cast(node as bigint) as node, cast(feature as int) as feature, round(threshold, 6) as threshold, n as size from nodes",
@@ -511,13 +517,31 @@ def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "span_isolation",
-    with_sql(*_FOREST, "limits as (select quantile_cont(score, 0.9) as t from scores join feats using (span_id) where split = 'train')")
-    + "select span_id, split, round(score, 6) as score, cast(case when score > t then -1 else 1 end as int) as anomaly from scores join feats using (span_id), limits",
+    with_sql(*_FOREST, _LABELS) + _LABELLED,
 )
 def span_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans beside metrics, scored by the forest; a tenth of the train rows counts as anomalous."""
     found = analyses.span_isolation(fx.spans(spark, sf_dir), fx.hourly_metrics(spark, sf_dir))
-    return found.select("span_id", "split", r("score").alias("score"), "anomaly")
+    return found.select("span_id", "split", r("score").alias("score"), "anomaly", "note")
+
+
+@check("span_isolation_unmatched", with_sql(fx.SPANS, fx.VIEW_METRICS, forest_sql(), _LABELS) + _LABELLED)
+def span_isolation_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of one event type only: spans at hours without one stay in the result, unscored."""
+    found = analyses.span_isolation(fx.spans(spark, sf_dir), fx.hourly_metrics(spark, sf_dir, "view"))
+    return found.select("span_id", "split", r("score").alias("score"), "anomaly", "note")
+
+
+_SLICES = """case event_id % 3 when 0 then '007' when 1 then '1.50' else '{"service":"' || repeat('x', 400) || '"}' end"""
+
+
+@check("loss_sink_long_ids", f"""select {_SLICES} as slice_id, event_id, "value" as loss from events""")
+def loss_sink_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slice ids that look like numbers, and one of 400 characters, come back as they were written."""
+    path = fresh_path(spark, "loss")
+    events = table(spark, sf_dir, "events")
+    writers.write_loss(events.select(F.expr(_SLICES).alias("slice_id"), "event_id", F.col("value").alias("loss")), path)
+    return writers.read_loss(spark, path)
 
 
 # --- results of detectors ----------------------------------------------------------------

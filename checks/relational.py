@@ -2,7 +2,7 @@ r"""Queries for sources, projections, joins, aggregations, windows, sets and sca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -271,13 +271,35 @@ def split_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_hashed(table(spark, sf_dir, "events").select("event_id"), "event_id")
 
 
-@check("split_random")
+def _wide(expr: str, small: str) -> str:
+    return f"select {expr} as key, {_HASHED.replace('event_id', small)} as split from events"
+
+
+@check("split_hashed_wide_ids", _wide("event_id + 9000000000000000000", "((event_id + 9000000000000000000) % 10007)"))
+def split_hashed_wide_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys near the end of 64 bits."""
+    keys = table(spark, sf_dir, "events").select((F.col("event_id") + 9000000000000000000).alias("key"))
+    return split.split_hashed(keys, "key")
+
+
+@check("split_hashed_text_ids", _wide("md5(event_id::varchar)", "(('0x' || substr(md5(md5(event_id::varchar)), 1, 15))::bigint % 10007)"))
+def split_hashed_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hexadecimal text keys."""
+    keys = table(spark, sf_dir, "events").select(F.md5(F.col("event_id").cast("string")).alias("key"))
+    return split.split_hashed(keys, "key")
+
+
+@check("split_random", "select event_id, true as near_share from events")
 def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spark's own sampler: three parts that together hold every row once."""
-    parts = split.split_random(table(spark, sf_dir, "events").select("event_id"))
-    names = ("train", "validation", "test")
-    tagged = [p.withColumn("split", F.lit(n)) for p, n in zip(parts, names)]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    """Spark's own sampler: three parts that together hold every row once, each near its share."""
+    weights = {"train": 0.7, "validation": 0.15, "test": 0.15}
+    parts = split.split_random(table(spark, sf_dir, "events").select("event_id"), tuple(weights.values()))
+    tagged = [p.withColumn("split", F.lit(n)) for p, n in zip(parts, weights)]
+    whole = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    share = F.count("*") / F.sum(F.count("*")).over(Window.partitionBy())
+    wanted = F.coalesce(*(F.when(F.col("split") == n, w) for n, w in weights.items()))
+    near = whole.groupBy("split").agg((F.abs(share - F.first(wanted)) < 0.05).alias("near_share"))
+    return whole.join(F.broadcast(near), "split").select("event_id", "near_share")
 
 
 _TAGGED = """tagged as (
@@ -501,7 +523,7 @@ def span_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all chains without duplicates: the input rows again."""
     df = fx.spans(spark, sf_dir)
-    return traces.chain_rows(df, traces.span_chains(df, max_depth=1)).select("span_id", "duration", "service")
+    return traces.chain_rows(df, traces.span_chains(df)).select("span_id", "duration", "service")
 
 
 @check(

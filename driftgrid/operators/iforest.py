@@ -11,9 +11,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgrid.operators.split import integer_key
 from driftgrid.operators.thresholds import quantile_threshold
 from driftgrid.session import store
 
@@ -26,14 +27,12 @@ FRACTION_STEPS = 10007
 EULER_GAMMA = 0.5772156649
 
 
-def sample_rank(key: str, tree: str, seed: int):
-    """A pseudo-random order of the rows for one tree."""
+def sample_rank(small: Column, tree: Column, seed: int) -> Column:
+    """A pseudo-random order of the rows for one tree; ``small`` is a key below MODULUS."""
     mixed = F.pmod(
-        F.pmod(F.col(key), F.lit(MODULUS)) * (F.lit(ROW_FACTOR) + F.lit(TREE_FACTOR) * F.col(tree))
-        + F.lit(NODE_FACTOR) * (F.col(tree) + seed),
-        F.lit(MODULUS),
+        small * (F.lit(ROW_FACTOR) + F.lit(TREE_FACTOR) * tree) + F.lit(NODE_FACTOR) * (tree + seed), F.lit(MODULUS)
     )
-    return F.pmod(mixed * mixed + F.col(key), F.lit(MODULUS))
+    return F.pmod(mixed * mixed + small, F.lit(MODULUS))
 
 
 def tree_samples(
@@ -41,20 +40,20 @@ def tree_samples(
 ) -> DataFrame:
     """The ``sample`` rows of lowest rank for every tree.
 
-    A row is tried against each tree in place and only rows under a rank limit go on, about
-    four samples' worth per tree however large the table is.  Should some tree end up short,
+    A row is tried against each tree in place and repeated only for the trees under whose rank limit it lies, about
+    four samples' worth per tree however large the table is.  The key is an integer or a text.  Should some tree end up short,
     the limit is raised and the step repeated.
     """
     total = df.count()
     need = min(sample, total)
     share = min(1.0, 4.0 * sample / max(total, 1))
-    spread = df.select(F.col(key).alias("_key"), *features).withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    )
-    ranked = spread.withColumn("_rank", sample_rank("_key", "tree", seed))
+    keyed = df.select(F.col(key).alias("_key"), F.pmod(integer_key(df, key), F.lit(MODULUS)).alias("_small"), *features)
+    each = F.sequence(F.lit(0), F.lit(trees - 1))
+    ranks = F.transform(each, lambda t: F.struct(t.alias("tree"), sample_rank(F.col("_small"), t, seed).alias("_rank")))
     while True:
-        near = ranked if share >= 1.0 else ranked.filter(F.col("_rank") < int(MODULUS * share))
-        near = store(near)
+        below = MODULUS if share >= 1.0 else int(MODULUS * share)
+        near = keyed.withColumn("_at", F.explode(F.filter(ranks, lambda r: r["_rank"] < below)))
+        near = store(near.select("_key", *features, "_at.tree", "_at._rank"))
         counts = near.groupBy("tree").agg(F.count("*").alias("n")).agg(
             F.count("*").alias("trees"), F.min("n").alias("least")
         ).first()

@@ -56,7 +56,7 @@ def fit_features(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[floa
     """Mean and population deviation of the feature columns of a flat table: one row of numbers."""
     row = df.agg(
         *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)],
-        *[_nonzero(F.stddev_pop(c)).alias(f"_s{i}") for i, c in enumerate(features)],
+        *[F.when(F.min(c) == F.max(c), 1.0).otherwise(_nonzero(F.stddev_pop(c))).alias(f"_s{i}") for i, c in enumerate(features)],
     ).first()
     return {c: (row[f"_m{i}"], row[f"_s{i}"]) for i, c in enumerate(features)}
 

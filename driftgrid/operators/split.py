@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgrid.axis import CHUNK_ROWS
 from driftgrid.operators.shape import with_position
@@ -68,6 +69,13 @@ _SPLIT_FACTOR = 7919
 _SPLIT_MODULUS = 10007
 
 
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key as a 64-bit integer; a text gives the first 15 hexadecimal digits of its MD5."""
+    if isinstance(df.schema[key].dataType, T.StringType):
+        return F.conv(F.substring(F.md5(F.col(key)), 1, 15), 16, 10).cast("bigint")
+    return F.col(key).cast("bigint")
+
+
 def split_hashed(
     df: DataFrame,
     key: str,
@@ -75,8 +83,9 @@ def split_hashed(
     seed: int = 42,
     names: Sequence[str] = ("train", "validation", "test"),
 ) -> DataFrame:
-    """Random-looking split that follows from an integer row key, so every run repeats it."""
-    share = F.pmod(F.col(key) * _SPLIT_FACTOR + seed, F.lit(_SPLIT_MODULUS)) / F.lit(float(_SPLIT_MODULUS))
+    """Random-looking split that follows from the row key, an integer or a text, so every run repeats it."""
+    small = F.pmod(integer_key(df, key), F.lit(_SPLIT_MODULUS))
+    share = F.pmod(small * _SPLIT_FACTOR + seed, F.lit(_SPLIT_MODULUS)) / F.lit(float(_SPLIT_MODULUS))
     edge, split = 0.0, F.lit(names[-1])
     edges = []
     for weight in weights[:-1]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.axis import CHUNK_ROWS, with_halo
 from driftgrid.operators.pca import fit_pca, loss_mean, score_vectors
-from driftgrid.operators.vectors import gram, matrix_of
+from driftgrid.operators.vectors import centre_of, gram, matrix_of
 from driftgrid.spread import lookup
 
 
@@ -33,7 +33,7 @@ def fit_forecast(windows: DataFrame) -> DataFrame:
     """Least-squares forecast of ``y`` from ``x`` per slice, fitted on the train split.
 
     Spark sums the products; a task solves one small system per slice.  ``coef`` starts with
-    the constant.  A system without a unique solution takes the shortest one.
+    the constant.  A system without a unique solution takes the shortest one around the mean.
     """
     joint = windows.filter(F.col("split") == "train").select(
         "slice_id", F.concat("x", F.array("y")).alias("x")
@@ -41,7 +41,11 @@ def fit_forecast(windows: DataFrame) -> DataFrame:
 
     def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sums = matrix_of(group)
-        coef = np.linalg.pinv(sums[:-1, :-1], rcond=1e-12, hermitian=True) @ sums[:-1, -1]
+        mean = sums[0, 1:] / sums[0, 0]
+        cov = sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean)
+        slopes = np.linalg.pinv(cov[:-1, :-1], rcond=1e-12, hermitian=True) @ cov[:-1, -1]
+        mean = mean + centre_of(group)
+        coef = np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
         return pd.DataFrame([{"slice_id": key[0], "coef": coef}])
 
     slice_type = windows.schema["slice_id"].dataType.simpleString()

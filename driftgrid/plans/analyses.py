@@ -140,16 +140,23 @@ def span_isolation(
     contamination: float = 0.1,
     seed: int = 42,
 ) -> DataFrame:
-    """Spans beside metrics, split at random, scored by an isolation forest fitted on train."""
+    """Spans beside metrics, split at random, scored by an isolation forest fitted on train.
+
+    Every span is returned.  One without both features, such as a span at whose time no metric is known, is neither
+    fitted nor scored: its score and ``anomaly`` are null and its ``note`` says ``no metric``.
+    """
     features = ["span_duration", "metric_value"]
     joined = traces.span_features(traces.join_telemetry(spans, metrics))
-    rows = store(split.split_hashed(joined, key, seed=seed).na.drop(subset=features))
+    every = store(split.split_hashed(joined, key, seed=seed))
+    rows = every.na.drop(subset=features)
     train = rows.filter("split = 'train'")
     stats = scale.fit_features(train, features)
     scaled = store(scale.scale_features(rows, stats))
     model = store(iforest.fit_iforest(scaled.filter("split = 'train'"), features, key, trees, sample, seed))
     scored = store(iforest.score_iforest(scaled, model, features, sample))
-    return iforest.label_scores(scored, scored.filter("split = 'train'"), contamination)
+    labelled = iforest.label_scores(scored, scored.filter("split = 'train'"), contamination)
+    rest = every.filter(" or ".join(f"{f} is null" for f in features)).withColumn("note", F.lit("no metric"))
+    return labelled.withColumn("note", F.lit(None).cast("string")).unionByName(rest, allowMissingColumns=True)
 
 
 def seconds_range(start: str, end: str) -> Range:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.operators.merge import merge_all
+from driftgrid.session import store
 from driftgrid.spread import lookup
 
+# Encodings by name, with the byte order that files are split in.
+WIDE = {"UTF-16": "UTF-16LE", "UTF-16LE": "UTF-16LE", "UTF-16BE": "UTF-16BE"}
 _PLACE = ("_file", "_start", "_row")
 
 
@@ -25,17 +28,18 @@ def read_metrics_csv(
     """Scan headerless CSV exports with the given column names.
 
     Files are split over tasks unless ``multi_line`` is set, which records with quoted line
-    breaks need.  ``UTF-16`` is read as little-endian text and its byte order mark removed.
+    breaks need.  ``UTF-16`` is read as little-endian text unless ``UTF-16BE`` names the other order; the byte order
+    mark is removed, and a file whose mark shows the order not asked for ends the scan with an error.
     ``drop_last_line`` removes the last record of every file, the cut end of an export.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     declared = T.StructType.fromDDL(schema)
     reader = spark.read.schema(declared).option("quote", '"').option("escape", '"').option("header", False)
-    wide = encoding.upper().replace("_", "-") in ("UTF-16", "UTF16")
+    wide = WIDE.get(encoding.upper().replace("_", "-").replace("UTF16", "UTF-16"))
     if multi_line:
         reader = reader.option("multiLine", True).option("encoding", encoding)
     elif wide:
-        reader = reader.option("encoding", "UTF-16LE").option("lineSep", "\n")
+        reader = reader.option("encoding", wide).option("lineSep", "\n")
     else:
         reader = reader.option("encoding", encoding)
     rows = reader.csv(paths)
@@ -44,7 +48,9 @@ def read_metrics_csv(
     head, tail = declared[0], declared[-1]
     if wide and not multi_line:
         if isinstance(head.dataType, T.StringType):
-            rows = rows.withColumn(head.name, F.ltrim(F.col(head.name), F.lit("\ufeff")))
+            first = F.col(head.name)
+            swapped = F.raise_error(F.lit(f"the byte order of a file is not {wide}")).cast("string")
+            rows = rows.withColumn(head.name, F.when(first.startswith("\ufffe"), swapped).otherwise(F.ltrim(first, F.lit("\ufeff"))))
         if isinstance(tail.dataType, T.StringType):
             rows = rows.withColumn(tail.name, F.rtrim(F.col(tail.name), F.lit("\r")))
     return rows
@@ -54,15 +60,16 @@ def drop_last_rows(rows: DataFrame) -> DataFrame:
     """Without the last row of each file.
 
     Rows are placed by the block of the file they come from and their order in it, so the
-    last row of a file is found by one small aggregate.
+    last row of a file is found by one small aggregate.  The placed rows are stored, since another
+    scan may cut the files differently.
     """
     cols = rows.columns
-    placed = rows.select(
+    placed = store(rows.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
-    )
+    ))
     last = placed.groupBy("_file").agg(F.max(F.struct("_start", "_row")).alias("_last"))
     last = last.select("_file", "_last._start", "_last._row")
     return lookup(placed, last, _PLACE, "left_anti").select(*cols)

@@ -34,19 +34,14 @@ def read_anomaly_log(spark, path: str) -> DataFrame:
 
 
 def write_loss(loss: DataFrame, path: str, mode: str = "append") -> None:
-    """Losses in one folder per slice.
+    """Losses by a bucket of the slice, with the slice as a column.
 
-    Rows are gathered by slice and day first: a task writes whole days of few slices, and a
-    slice with most of the rows is still written by many tasks.
+    Slice texts may be long and many, so a folder stands for a bucket of their hash: 256 at most.  Spark
+    evens out what the writing tasks get, so a busy slice is written by many of them.
     """
-    day = F.date_trunc("day", F.col("ts"))
-    loss.repartition(F.col("slice_id"), day).write.mode(mode).partitionBy("slice_id").parquet(path)
+    bucket = F.concat(F.lit("b"), F.substring(F.md5(F.col("slice_id").cast("string")), 1, 2))
+    loss.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(path)
 
 
 def read_loss(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("slice_id", F.col("slice_id").cast("string"))
-
-
-def write_grid(grid: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A grid in one folder per slice, so that later reads touch only the slices they need."""
-    grid.repartition("slice_id", "chunk").write.mode(mode).partitionBy("slice_id").parquet(path)
+    return spark.read.parquet(path).drop("_bucket")

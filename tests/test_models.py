@@ -309,3 +309,23 @@ def test_impute_leaves_no_gap(spark):
     got = matrix_of(impute(grid_frame(spark, {"a": m}), chunk_rows=8))["a"]
     assert not np.isnan(got).any()
     np.testing.assert_allclose(got, pandas_impute(m), atol=1e-12)
+
+
+def test_second_moments_far_from_zero(spark):
+    """Covariance, components and forecast at 1e9 with deviations near 1."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2000, 2)) @ np.array([[1.0, 0.45], [0.0, 1.0]])
+    rows = [("a", i % 7, i, [float(v) for v in x + 1e9]) for i, x in enumerate(base)]
+    df = spark.createDataFrame(rows, "slice_id string, chunk int, ts int, x array<double>").repartition(5)
+    want = np.cov((base + 1e9 - 1e9).T, bias=True)
+    cov = {(r["i"], r["j"]): r["cov"] for r in vectors.covariance(df).collect()}
+    np.testing.assert_allclose([cov[0, 0], cov[0, 1], cov[1, 1]], [want[0, 0], want[0, 1], want[1, 1]], rtol=1e-5)
+    model = pca.fit_pca(df, k=2).first()
+    np.testing.assert_allclose(model["eigenvalues"], np.linalg.eigvalsh(want)[::-1], rtol=1e-5)
+    np.testing.assert_allclose(model["mean"], (base + 1e9).mean(axis=0), rtol=1e-12)
+    target = base @ [0.5, -0.25] + 3e8 + rng.normal(size=2000) * 1e-3
+    joint = spark.createDataFrame(
+        [("a", "train", [float(v) for v in x + 1e9], float(y)) for x, y in zip(base, target)], "slice_id string, split string, x array<double>, y double"
+    )
+    coef = windows.fit_forecast(joint).first()["coef"]
+    np.testing.assert_allclose(coef[1:], [0.5, -0.25], atol=1e-3)

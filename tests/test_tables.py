@@ -315,3 +315,28 @@ def test_one_sided_series_and_empty_side(spark):
     left = quality.prune_one_sided(grid, cut(3)).select("series_id").distinct().collect()
     assert [r[0] for r in left] == [0]
     assert quality.prune_one_sided(grid, cut(0)).count() == 0
+
+
+def test_utf16_in_either_byte_order(spark, tmp_path):
+    text = "a,1\nb\u00e9,2\n"
+    for name, mark, codec in (("le", b"\xff\xfe", "utf-16-le"), ("be", b"\xfe\xff", "utf-16-be")):
+        (tmp_path / name).write_bytes(mark + text.encode(codec))
+    read = lambda name, encoding: readers.read_metrics_csv(spark, str(tmp_path / name), "k string, n string", encoding=encoding)
+    want = [("a", "1"), ("b\u00e9", "2")]
+    assert sorted(map(tuple, read("le", "UTF-16").collect())) == want
+    assert sorted(map(tuple, read("be", "UTF-16BE").collect())) == want
+    with pytest.raises(Exception, match="byte order"):
+        read("be", "UTF-16").collect()
+
+
+def test_last_rows_go_whatever_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(2001).coalesce(1).write.csv(path)
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    rows = readers.read_metrics_csv(spark, path, "id string", drop_last_line=True)
+    spark.conf.set("spark.sql.files.minPartitionNum", "16")
+    try:
+        assert rows.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set("spark.sql.files.minPartitionNum", old)
