@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm.common import WORD, ready
+from driftgrid.llm.common import WORD, bound, ready
 from driftgrid.session import store
 from driftgrid.spread import lookup
 
@@ -26,7 +26,7 @@ BLOCK, SHARD = 256, 4096
 #: Weights of the sources in order, repeating; passes over a source at most.
 WEIGHTS, PASSES = (1, 2, 3), 3
 #: Documents per bucket of the running sums, slots per chunk.
-BUCKET_ROWS, CHUNK = 4096, 16384
+BUCKET_ROWS, CHUNK = 4096, 4096
 #: Arithmetic of the permutations: a prime below 2^31 and multipliers.
 PRIME, A, B, C, ROUNDS = 2147483647, 48271, 69621, 40692, 16
 
@@ -39,7 +39,7 @@ def whole(a: Column, b: Column) -> Column:
 def mixed(x: Column, seed: Column, r: Column) -> Column:
     """A number below PRIME that looks random."""
     h = F.pmod(F.pmod(x, F.lit(PRIME)) * A + whole(x, F.lit(PRIME)) * C + F.pmod(seed, F.lit(PRIME)) * B + r * 7919 + 1, F.lit(PRIME))
-    return F.pmod(h * h + h * A + r, F.lit(PRIME))
+    return bound(h, lambda h: F.pmod(h * h + h * A + r, F.lit(PRIME)))
 
 
 def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Column:
@@ -52,8 +52,8 @@ def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Colum
 
     def step(now: Column, r: Column) -> Column:
         key = F.pmod(mixed(r, seed, F.lit(1).cast("long")) * PRIME + mixed(r, seed, F.lit(2).cast("long")), n)
-        other = F.pmod(key - now + n, n)
-        return F.when(F.pmod(whole(mixed(F.greatest(now, other), seed, r), F.lit(8)), F.lit(2)) == 1, other).otherwise(now)
+        coin = lambda x: F.pmod(whole(mixed(x, seed, r), F.lit(8)), F.lit(2)) == 1
+        return bound(F.pmod(key - now + n, n), lambda other: F.when(coin(F.greatest(now, other)), other).otherwise(now))
 
     return F.aggregate(F.array(*(F.lit(r).cast("long") for r in order)), x.cast("long"), step)
 
@@ -126,8 +126,9 @@ def pass_seed(passes: Column) -> Column:
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """(shard, slot, rank, pass, block, words, full): which block fills each slot of the output, and with how many words."""
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), whole(F.col("slots") - 1, F.lit(CHUNK))))
-    # The parts of a large source are dealt out before they become slots.
-    parts = sources.filter("slots > 0").withColumn("chunk", chunk).repartition(F.col("rank"), F.col("chunk"))
+    # The parts of a large source are dealt out before they become slots: a task gets about two chunks.
+    tasks = (sources.agg(F.max("all_slots")).first()[0] or 0) // (2 * CHUNK) + 1
+    parts = sources.filter("slots > 0").withColumn("chunk", chunk).repartition(tasks, F.col("rank"), F.col("chunk"))
     first = F.col("chunk") * CHUNK
     each = parts.withColumn("k", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)))
     each = each.withColumn("pass", whole(F.col("k"), F.col("blocks")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.llm.common import BLANKS, WORD, ready
+from driftgrid.llm.common import BLANKS, WORD, bound, ready
 from driftgrid.session import store
 from driftgrid.spread import lookup
 
@@ -30,11 +30,6 @@ RULES = {
 }
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
