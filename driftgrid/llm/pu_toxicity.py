@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = min(max(toxic / n, 1e-4), 0.9)
     confirmed = marks.filter("label = 1").select("doc_id")
     n_docs = rows.count()
-    positive = rows.join(chosen(confirmed, MOST_POSITIVE, toxic), "doc_id", "left_semi")
+    # The sample of ids is bounded, so it goes to the texts and not the texts to it.
+    positive = rows.join(F.broadcast(chosen(confirmed, MOST_POSITIVE, toxic)), "doc_id", "left_semi")
     unlabelled = chosen(rows, MOST_UNLABELLED, n_docs)  # the confirmed ones among them too: the prior holds for all text
     one, other = gathered(positive), gathered(unlabelled)
     if not one or not other:
