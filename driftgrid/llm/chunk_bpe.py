@@ -100,6 +100,16 @@ class Encoder:
         return b"".join(out)
 
 
+class Decoder:
+    """Ids as little-endian 32-bit numbers -> the bytes they stand for, put together."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.part = {n: b for b, n in ranks.items()}.__getitem__
+
+    def __call__(self, ids: bytes) -> bytes:
+        return b"".join(map(self.part, np.frombuffer(ids, "<u4").tolist()))
+
+
 def boundaries(find, text: str, low: int, high: int, end: int) -> list[int]:
     """Match ends of ``text`` in [low, high) that do not depend on what follows ``end``."""
     out = [0] if low == 0 else []
@@ -111,11 +121,12 @@ def boundaries(find, text: str, low: int, high: int, end: int) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """(doc_id, ids binary): the ids as little-endian unsigned 32-bit numbers, one row per input row.
 
-    A null or empty text has no ids; a null id stays null, repeated rows are encoded each.  ``ranks`` must hold all
-    single bytes.  Only id and text are looked at.
+    With ``decoded`` a third column holds the bytes that the ids decode to, made in the task that has the ids, so that no
+    second Python process stands beside it.  A null or empty text has no ids; a null id stays null, repeated rows are
+    encoded each.  ``ranks`` must hold all single bytes.  Only id and text are looked at.
     """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary file, of fixed size
@@ -123,15 +134,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     short = F.char_length("text") <= chunk
 
     def whole(batches):
-        find, encoder = splitter(pattern), Encoder(shared.value)
+        find, encoder, out = splitter(pattern), Encoder(shared.value), results(shared, decoded)
         for b in batches:
-            ids = [encoder(find.findall(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield out(b.column(0), [encoder(find.findall(t)) for t in b.column(1).to_pylist()])
+
+    return rows.filter(short).mapInArrow(whole, schema_of(decoded)).unionByName(encode_long(rows.filter(~short), shared, pattern, chunk, overlap, decoded))
 
-    return rows.filter(short).mapInArrow(whole, "doc_id long, ids binary").unionByName(encode_long(rows.filter(~short), shared, pattern, chunk, overlap))
 
+def schema_of(decoded: bool) -> str:
+    return "doc_id long, ids binary" + (", decoded binary" if decoded else "")
 
-def encode_long(rows: DataFrame, shared, pattern: str, chunk: int, overlap: int) -> DataFrame:
+
+def results(shared, decoded: bool):
+    """A function of document ids and token ids to a batch of results."""
+    decoder = Decoder(shared.value) if decoded else None
+
+    def out(docs: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        columns = [docs, pa.array(ids, pa.binary())]
+        if decoder:
+            columns.append(pa.array([decoder(x) for x in ids], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+
+    return out
+
+
+def encode_long(rows: DataFrame, shared, pattern: str, chunk: int, overlap: int, decoded: bool) -> DataFrame:
     """The chunked path of ``encode``."""
     count = F.ceil(F.char_length("text") / chunk).cast("int")
     chunks = store(
@@ -175,21 +202,21 @@ def encode_long(rows: DataFrame, shared, pattern: str, chunk: int, overlap: int)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["row", "doc_id", "k", "ids"])
 
     def joined(batches):
+        out = results(shared, decoded)
         for (row, doc), parts in groups(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([b"".join(p["ids"] for p in parts)], pa.binary())], names=["doc_id", "ids"])
+            yield out(pa.array([doc], pa.int64()), [b"".join(p["ids"] for p in parts)])
 
     def again(batches):
-        find, encoder = splitter(pattern), Encoder(shared.value)
+        find, encoder, out = splitter(pattern), Encoder(shared.value), results(shared, decoded)
         for (row, doc), parts in groups(batches, 2):
-            ids = encoder(find.findall("".join(p["text"][:chunk] for p in parts)))
-            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids], pa.binary())], names=["doc_id", "ids"])
+            yield out(pa.array([doc], pa.int64()), [encoder(find.findall("".join(p["text"][:chunk] for p in parts)))])
 
     def in_order(df: DataFrame) -> DataFrame:
         return df.repartition("row").sortWithinPartitions("row", "k")
 
     done = pieces.select("row", "doc_id", "k", "text", "start", "stop").mapInArrow(part, "row long, doc_id long, k int, ids binary")
     rest = chunks.join(lost, "row", "left_semi").select("row", "doc_id", "k", "text")
-    return in_order(done).mapInArrow(joined, "doc_id long, ids binary").unionByName(in_order(rest).mapInArrow(again, "doc_id long, ids binary"))
+    return in_order(done).mapInArrow(joined, schema_of(decoded)).unionByName(in_order(rest).mapInArrow(again, schema_of(decoded)))
 
 
 def decoder(spark: SparkSession, ranks: dict[bytes, int]):
@@ -198,9 +225,8 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
 
     @F.pandas_udf("binary")
     def decode(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parts = {n: b for b, n in shared.value.items()}
-        get = parts.__getitem__
+        to_bytes = Decoder(shared.value)
         for ids in column:
-            yield pd.Series([None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids], dtype=object)
+            yield pd.Series([None if x is None else to_bytes(x) for x in ids], dtype=object)
 
     return decode

@@ -69,12 +69,10 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """Ids of whole texts and their decoding, as digests."""
-    spark = ready(docs.sparkSession)
-    ranks = chunk_bpe.read_ranks(RANKS)
-    ids = chunk_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    decode = chunk_bpe.decoder(spark, ranks)
+    ready(docs.sparkSession)
+    ids = chunk_bpe.encode(docs, chunk_bpe.read_ranks(RANKS), public_tokenizers.PATTERN, decoded=True)
     return ids.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode("ids"), 256).alias("decoded_sha256")
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 

@@ -224,11 +224,12 @@ def test_bpe(documents):
     docs = documents(rows)
     texts = {(i, t) for i, t, *_ in rows}
     for chunk, overlap in ((32_768, 1_024), (200, 60)):
-        ids = chunk_bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+        ids = chunk_bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, decoded=True)
         decode = chunk_bpe.decoder(docs.sparkSession, ranks)
-        got = ids.select("doc_id", "ids", decode("ids").alias("back")).collect()
+        got = ids.select("doc_id", "ids", "decoded", decode("ids").alias("back")).collect()
         assert len(got) == len(rows)
         for r in got:
+            assert r["decoded"] == r["back"]
             back = bytes(r["back"]).decode()
             assert any(i == r["doc_id"] and (t or "") == back for i, t in texts)
             assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == lib.encode_ordinary(back)
