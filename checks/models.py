@@ -214,6 +214,58 @@ def root_causes_two_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("slice_id", "ts", r("loss").alias("loss"), r("sq_error").alias("sq_error"), "rank")
 
 
+# With no component kept the loss is the squared norm, at any number of series.
+_NAMED = with_sql(*fx.TO_IMPUTED, TRAIN_SCALED, f"""causes as (select *, row_number() over (partition by slice_id, ts order by e desc, number) as rank from (
+      select slice_id, ts, {SPLIT_SQL}, 3 - series_id as number, v * v as e, sum(v * v) over (partition by slice_id, ts) as loss from scaled))""")
+
+
+@check(
+    "root_causes_described",
+    _NAMED + """select slice_id, ts, round(loss, 6) as loss, cast(number as int) as series_id, round(e, 6) as sq_error, cast(rank as int) as rank, 'unit ' || number as unit_value
+    from causes where split = 'test' and loss > 5 and rank <= 3""",
+)
+def root_causes_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged times with the identity of their three most responsible series, of four."""
+    samples = fx.gauge(spark, sf_dir).withColumn("unit", F.concat(F.lit("unit "), (3 - F.col("series_id")).cast("string"))).drop("series_id")
+    found = analyses.described_root_causes(samples, ["unit"], *ranges(), threshold=5.0, k=3, components=0)
+    return found.select("slice_id", "ts", r("loss").alias("loss"), "series_id", r("sq_error").alias("sq_error"), "rank", "unit_value")
+
+
+@check(
+    "root_cause_signals",
+    _NAMED + f"""select slice_id, {SPLIT_SQL}, ts, series_id, round(v, 6) as value from scaled
+    where (slice_id, 3 - series_id) in (select (slice_id, number) from causes where split = 'test' and loss > 30 and rank = 1)""",
+)
+def root_cause_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled signals, in both splits, of the series most responsible for some flagged time."""
+    found = analyses.root_cause_signals(fx.gauge(spark, sf_dir), *ranges(), threshold=30.0, k=1, components=0)
+    return found.select("slice_id", "split", "ts", "series_id", r("value").alias("value"))
+
+
+def _saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of all slices but one, written under a name and read back."""
+    path = fresh_path(spark, "metric_pca")
+    samples = fx.gauge(spark, sf_dir, 2).filter("slice_id <> 'view'")
+    writers.write_model(analyses.fit_metric_pca(samples, ranges()[0], k=1), path)
+    return writers.read_model(spark, path)
+
+
+@check(
+    "pca_saved_model",
+    with_sql(*TWO_TRAIN, closed_form("pairs")) + "select slice_id, ts, round(p * p, 6) as loss from scored where split = 'test' and slice_id <> 'view'",
+)
+def pca_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test losses under models fitted before, saved and loaded."""
+    found = analyses.score_metric_pca(fx.gauge(spark, sf_dir, 2), _saved_model(spark, sf_dir), ranges()[1])
+    return found.withColumn("loss", r("loss"))
+
+
+@check("pca_saved_model_unmatched", "select distinct event_type as slice_id from events where event_type = 'view'")
+def pca_saved_model_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slices that the loaded models leave without a loss."""
+    return split.unmatched_slices(fx.gauge(spark, sf_dir, 2), _saved_model(spark, sf_dir))
+
+
 @check("gauge_root_causes")
 def gauge_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged test times of all slices with their most responsible series, two components kept."""

@@ -180,14 +180,12 @@ _KEY = """'{"host.name":"h' || (user_id % 3) || '","os.type":"linux","service.na
 
 @check(
     "slice_by_resource",
-    f"select slice_id, count(*) as n, min(event_id) as first_event from (select {_KEY} as slice_id, event_id from events where event_id % 97 <> 0) group by 1",
+    f"select slice_id, count(*) as n, min(event_id) as first_event from (select case when event_id % 97 = 0 then 'unparsed ' || event_type else {_KEY} end as slice_id, event_id from events) group by 1",
 )
 def slice_by_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows keyed by their filtered resource attributes; unparsable text belongs to no slice."""
-    raw = fx.raw_gauge(spark, sf_dir).select(
-        "event_id", attrs.filter_attrs(attrs.parse_attrs(F.col("ResourceAttributes"))).alias("attrs")
-    )
-    return shape.with_slice(raw, "attrs").groupBy("slice_id").agg(
+    """Rows keyed by their filtered resource attributes; text that does not parse is its own key."""
+    raw = fx.raw_gauge(spark, sf_dir).select("event_id", attrs.resource_key(F.col("ResourceAttributes")).alias("resource"))
+    return shape.with_slice(raw, "resource").groupBy("slice_id").agg(
         F.count("*").alias("n"), F.min("event_id").alias("first_event")
     )
 

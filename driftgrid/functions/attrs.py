@@ -68,6 +68,11 @@ def canonical_attrs(text: Column) -> Column:
     return F.coalesce(slice_key(parse_attrs(text)), text)
 
 
+def resource_key(text: Column, keys: Sequence[str] = RESOURCE_KEYS) -> Column:
+    """Slice key of a resource text: its listed attributes in key order, the raw text where it does not parse."""
+    return F.coalesce(slice_key(filter_attrs(parse_attrs(text), keys)), text)
+
+
 def short_key(key: Column) -> Column:
     """A fixed-length stand-in for long slice keys (command lines run to thousands of characters)."""
     return F.sha2(key, 256)

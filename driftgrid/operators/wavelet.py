@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgrid.session import store
 from driftgrid.spread import lookup, store_measured
 
 KEYS = ("slice_id", "split")
@@ -98,12 +99,13 @@ def wavelet_smooth(df: DataFrame, wavelet: str = "db4", level: int | None = None
     lengths = _lengths(wavelet, deepest)
     columns = [*KEYS, "n0", "depth", "i", "value"]
     current = lookup(df.select(*KEYS, F.col("pos").alias("i"), "value"), (sizes, cells), list(KEYS)).select(*columns)
-    # A series leaves the way down at its own depth and joins the way up there.
+    # A series leaves the way down at its own depth and joins the way up there.  Levels are written out, half as long
+    # each time, so that no level computes those above it again.
     leaving = {0: current}
     for step in range(1, deepest + 1):
-        current = _down(
-            current.filter(F.col("depth") >= step), wavelet, lengths[step - 1], lengths[step]
-        ).select(*columns)
+        current = store(
+            _down(current.filter(F.col("depth") >= step), wavelet, lengths[step - 1], lengths[step]).select(*columns)
+        )
         leaving[step] = current
     rising = None
     for step in range(deepest, -1, -1):

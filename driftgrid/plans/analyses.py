@@ -12,6 +12,7 @@ from driftgrid.operators.impute import impute
 from driftgrid.operators.quality import prune_one_sided
 from driftgrid.operators.vectors import to_vectors
 from driftgrid.session import store
+from driftgrid.spread import lookup
 
 Range = tuple[Column, Column]
 
@@ -64,6 +65,46 @@ def metric_pca(
     return pca.score_losses(vectors, model).select("slice_id", "split", "ts", "loss")
 
 
+def fit_metric_pca(
+    samples: DataFrame, train: Range, target: float = 0.8, plus: int = 1, k: int | None = None, cutoff: Column | None = None
+) -> DataFrame:
+    """One row per slice with its series, scaler and components, all fitted on the train range."""
+    means = long_enough(samples, cutoff=cutoff)
+    rows = store(split.split_range(to_vectors(impute(means)), *train))
+    scaler = store(scale.fit_vectors(rows))
+    model = pca.fit_pca(scale.scale_vectors(rows, scaler), k=k, target=target, plus=plus)
+    series = shape.series_lists(means).withColumnRenamed("_series", "series")
+    return model.join(scaler, "slice_id").join(series, "slice_id")
+
+
+def score_metric_pca(samples: DataFrame, model: DataFrame, times: Range, rows: int = 1) -> DataFrame:
+    """Reconstruction loss of the times of a range under fitted models.
+
+    Series the model does not know are left out, and a series of the model without samples counts as its
+    train mean.  Slices without a model have no loss; ``split.unmatched_slices`` names them.
+    """
+    known = model.select("slice_id", F.explode("series").alias("series_id"))
+    means = split.align_to_model(long_enough(samples, rows), known)
+    vectors = split.split_range(to_vectors(impute(means)), *times)
+    carried = vectors.columns
+    placed = lookup(vectors, shape.series_lists(means), "slice_id")
+    placed = lookup(placed, model.select("slice_id", "series", "center", "scale"), "slice_id")
+    value = lambda s, i: F.coalesce(
+        F.get("x", (F.array_position("_series", s) - 1).cast("int")), F.col("center")[i]
+    )
+    x = F.transform("series", lambda s, i: (value(s, i) - F.col("center")[i]) / F.col("scale")[i])
+    return pca.score_losses(placed.withColumn("x", x).select(*carried), model).select("slice_id", "ts", "loss")
+
+
+def _train_scaled(samples: DataFrame, train: Range, test: Range, slices: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Series lists, and vectors of both splits scaled by the train split."""
+    if slices is not None:
+        samples = split.only_slices(samples, slices)
+    means = long_enough(samples)
+    vectors = store(to_vectors(impute(means)))
+    return store(shape.series_lists(means)), store(scaled_vectors(vectors, train, test, fit_on="train"))
+
+
 def metric_root_causes(
     samples: DataFrame,
     train: Range,
@@ -77,13 +118,35 @@ def metric_root_causes(
 
     Scaler and components both come from the train split.
     """
-    if slices is not None:
-        samples = split.only_slices(samples, slices)
-    means = store(long_enough(samples))
-    vectors = store(to_vectors(impute(means)))
-    vectors = store(scaled_vectors(vectors, train, test, fit_on="train"))
+    series, vectors = _train_scaled(samples, train, test, slices)
+    model = pca.fit_pca(vectors.filter("split = 'train'"), k=components)
+    return pca.explain(vectors.filter("split = 'test'"), model, series, threshold, k)
+
+
+def described_root_causes(samples: DataFrame, identity: Sequence[str], train: Range, test: Range, **options) -> DataFrame:
+    """The root causes of samples whose series are named by identity columns, with the identity of each series."""
+    found = metric_root_causes(shape.assign_series(samples, identity), train, test, **options)
+    return pca.describe_series(found, shape.series_dictionary(samples, identity), identity)
+
+
+def root_cause_signals(
+    samples: DataFrame,
+    train: Range,
+    test: Range,
+    threshold: float = 50.0,
+    k: int = 5,
+    components: int = 2,
+    slices: Sequence[str] | None = None,
+) -> DataFrame:
+    """Scaled values, in train and test, of every series that is named at some flagged test time."""
+    series, vectors = _train_scaled(samples, train, test, slices)
     model = pca.fit_pca(vectors.filter("split = 'train'"), k=components)
-    return pca.explain(vectors.filter("split = 'test'"), model, shape.series_lists(means), threshold, k)
+    named = pca.explain(vectors.filter("split = 'test'"), model, series, threshold, k)
+    cells = lookup(vectors, series, "slice_id").select(
+        "slice_id", "split", "ts", F.posexplode("x").alias("_i", "value"), "_series"
+    )
+    tall = cells.select("slice_id", "split", "ts", F.col("_series")[F.col("_i")].alias("series_id"), "value")
+    return thresholds.top_signals(tall, named)
 
 
 def _minmax_first_series(samples: DataFrame) -> DataFrame:

@@ -43,5 +43,14 @@ def write_loss(loss: DataFrame, path: str, mode: str = "append") -> None:
     loss.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(path)
 
 
+def write_model(model: DataFrame, path: str) -> None:
+    """Fitted models, one row per slice, under a name of their own; an earlier fit of that name is replaced."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def read_model(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def read_loss(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_bucket")
