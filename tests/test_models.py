@@ -96,6 +96,21 @@ def test_root_causes_scale_and_fit_on_train(spark):
         np.testing.assert_allclose(mine, loss[loss > 1.0], atol=1e-8)
 
 
+def test_models_fitted_once_score_later_samples(spark):
+    """Scaler and components of train; a series without samples counts as its train mean, an unknown one not at all."""
+    m = dense_slices(6)["a"]
+    at = lambda minutes: F.lit(START + dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+    model = store(analyses.fit_metric_pca(grid_frame(spark, {"a": m}), (at(-1), at(49)), k=2))
+    later = np.hstack([m, m[:, :1] * 100])
+    later[:, 1] = np.nan
+    got = analyses.score_metric_pca(grid_frame(spark, {"a": later, "b": m}), model, (at(49), at(1000)))
+    centred = (np.where(np.isnan(later), 0, later)[:, :5] - m[:50].mean(axis=0)) / m[:50].std(axis=0)
+    centred[:, 1] = 0
+    want = numpy_pca_loss((m[:50] - m[:50].mean(axis=0)) / m[:50].std(axis=0), centred[50:], 2)
+    np.testing.assert_allclose(losses(got)["a"], want, atol=1e-8)
+    assert set(losses(got)) == {"a"}
+
+
 def test_covariance(spark):
     slices = dense_slices(8)
     got = vectors.covariance(tagged_vectors(spark, slices, 1000)).toPandas()
