@@ -26,6 +26,10 @@ def with_sql(*parts: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
 
 
+def recursive_sql(*parts: str) -> str:
+    return "with recursive " + ",\n".join(parts) + "\n"
+
+
 # Gauge samples: event types as slices, four series each, hourly, one value in seventeen null.
 
 def gauge_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.fixtures import moment, r, table, to_scaled, with_sql
+from checks.fixtures import moment, r, recursive_sql, table, to_scaled, with_sql
 from checks.registry import check
+from checks.spectrum import residual_sql
 from driftgrid.operators import buckets, iforest, impute, labels, pca, scale, shape, split, thresholds, vectors, wavelet
 from driftgrid.plans import analyses
 from driftgrid.session import fresh_path, store
@@ -266,24 +267,57 @@ def pca_saved_model_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.unmatched_slices(fx.gauge(spark, sf_dir, 2), _saved_model(spark, sf_dir))
 
 
-@check("gauge_root_causes")
+_TRAIN_TEST = f"tagged as (select slice_id, ts, {SPLIT_SQL}, series_id, v from scaled)"
+
+
+@check(
+    "gauge_root_causes",
+    recursive_sql(*fx.TO_IMPUTED, TRAIN_SCALED, _TRAIN_TEST, residual_sql("tagged", k=2)) + """select slice_id, ts, series_id, round(loss, 6) as loss, round(e, 6) as sq_error, cast(rank as int) as rank from (
+      select *, sum(e) over (partition by slice_id, ts) as loss, row_number() over (partition by slice_id, ts order by e desc, series_id) as rank
+      from (select slice_id, ts, series_id, r * r as e from residual where split = 'test')) where loss > 5 and rank <= 3""",
+)
 def gauge_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged test times of all slices with their most responsible series, two components kept."""
-    return analyses.metric_root_causes(fx.gauge(spark, sf_dir), *ranges(), threshold=5.0, k=3)
+    found = analyses.metric_root_causes(fx.gauge(spark, sf_dir), *ranges(), threshold=5.0, k=3)
+    return found.withColumns({"loss": r("loss"), "sq_error": r("sq_error")})
+
+
+#: The grid without the series that have no sample on one side of the cut.
+_TWO_SIDED = f"""grid as (
+  select * from all_means semi join (
+    select slice_id, series_id from all_means group by 1, 2
+    having min(ts) < timestamp '{fx.CUT}' and max(ts) >= timestamp '{fx.CUT}') using (slice_id, series_id))"""
+_LOSS = "select slice_id, split, ts, round(sum(r * r), 6) as loss from residual group by 1, 2, 3"
 
 
-@check("gauge_pca")
+@check(
+    "gauge_pca",
+    recursive_sql(fx.GAUGE, fx.GRID.replace("grid as", "all_means as"), _TWO_SIDED, *fx.TO_SCALED[2:], _TRAIN_TEST, residual_sql("tagged")) + _LOSS,
+)
 def gauge_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge losses with components for 80 % of the variance, one-sided series pruned."""
-    return analyses.metric_pca(fx.gauge(spark, sf_dir), *ranges(), target=0.8, cutoff=moment(fx.CUT))
+    return analyses.metric_pca(fx.gauge(spark, sf_dir), *ranges(), target=0.8, cutoff=moment(fx.CUT)).withColumn("loss", r("loss"))
+
 
+_SUM_GRID = """grid as (
+  select slice_id, ts, priority as series_id, v from sums semi join (
+    select slice_id from sums group by 1 having count(distinct ts) >= 50) using (slice_id))"""
+_SUM_SPLITS = """tagged as (
+  select slice_id, ts, case when ts <= timestamp '1998-06-01' then 'train' else 'test' end as split, series_id, v
+  from scaled where ts > timestamp '1994-01-01')"""
+_SUM_BOTH = """both_splits as (select * from tagged semi join (
+    select slice_id from tagged group by 1 having count(distinct split) = 2) using (slice_id))"""
 
-@check("sum_pca")
+
+@check(
+    "sum_pca",
+    recursive_sql(fx.SUMS, _SUM_GRID, *fx.TO_SCALED[2:], _SUM_SPLITS, _SUM_BOTH, residual_sql("both_splits", target=0.9, plus=0)) + _LOSS,
+)
 def sum_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly order sums with components for 90 % of the variance, one short."""
     samples = shape.assign_series(fx.sums(spark, sf_dir), ["priority"], "first_seen", ["ts", "first_key"])
     spans = analyses.seconds_range("1994-01-01", "1998-06-01"), analyses.seconds_range("1998-06-01", "2030-01-01")
-    return analyses.metric_pca(samples, *spans, target=0.9, plus=0)
+    return analyses.metric_pca(samples, *spans, target=0.9, plus=0).withColumn("loss", r("loss"))
 
 
 # --- histograms: two line states per bucket, so the closed form holds again ---------------
