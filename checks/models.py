@@ -712,3 +712,73 @@ def detector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labels.label_intervals(sigma.unionByName(fixed), fx.anomaly_log(spark, sf_dir))
     out = labels.evaluate(labelled)
     return out.select("detector", "tp", "fp", "fn", "tn", *[r(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_LINE = "line as (select slice_id, regr_slope(y, x1) as m, regr_intercept(y, x1) as c from lagged where split = 'train' and x1 is not null group by 1)"
+_LINE_LOSS = "loss as (select slice_id, split, ts, (y - m * x1 - c) * (y - m * x1 - c) as loss from lagged join line using (slice_id) where x1 is not null)"
+_SIGMA = "select ts, loss > avg(loss) over w + 3 * stddev_pop(loss) over w as f from loss window w as (partition by slice_id, split)"
+#: What each detector says of its rows: ts and the flag f.
+_DETECTORS = {
+    "pca": recursive_sql(
+        *fx.TO_SCALED, _TRAIN_TEST, residual_sql("tagged"), "loss as (select slice_id, split, ts, sum(r * r) as loss from residual group by 1, 2, 3)"
+    ) + _SIGMA,
+    "forecast": with_sql(*_MINMAX, _LINE, _LINE_LOSS) + _SIGMA,
+    "reconstruction": with_sql(
+        *_MINMAX, "pairs as (select slice_id, split, ts, x0, x1 from lagged where x0 is not null)", closed_form("pairs"),
+        "loss as (select slice_id, split, ts, p * p / 2 as loss from scored)",
+    ) + _SIGMA,
+    "wavelet": with_sql(
+        *_WAVE_ROWS, smoothing_sql("waves", 12),
+        """lagged as (select slice_id, split, ts, smooth.v as y, lag(smooth.v) over (partition by slice_id, split order by i) as x1
+          from smooth join waves using (slice_id, split, i))""",
+        _LINE, _LINE_LOSS,
+    ) + _SIGMA,
+    "forest": with_sql(*_FOREST, _LABELS) + "select s.ts, coalesce(score > t, false) as f from spans s left join scores using (span_id), limits",
+}
+
+
+@check(
+    "detector_comparison",
+    with_sql(
+        fx.LOG,
+        "calls as (" + " union all ".join(f"select '{name}' as detector, ts, f from ({sql})" for name, sql in _DETECTORS.items()) + ")",
+        "truth as (select ts, exists (select 1 from log where c.ts between date_trunc('hour', start_ts) and end_ts) as t from (select distinct ts from calls) c)",
+        """counts as (select detector, count(*) filter (f and t) as tp, count(*) filter (f and not t) as fp, count(*) filter (not f and t) as fn,
+          count(*) filter (not f and not t) as tn from calls join truth using (ts) group by 1)""",
+    )
+    + """select *, round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) as recall,
+    round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 6) as f1 from counts""",
+)
+def detector_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components, forecast, reconstruction, smoothed forecast and forest against the logged intervals."""
+    samples = fx.gauge(spark, sf_dir)
+    train, test = ranges()
+    # The wavelet ranges hold both their ends, so its test range starts after the cut.
+    later = moment(fx.CUT.replace("00:00:00", "00:00:01")), moment(fx.LAST)
+    forest = analyses.span_isolation(fx.spans(spark, sf_dir), fx.hourly_metrics(spark, sf_dir))
+    results = {
+        "pca": thresholds.sigma_threshold(store(analyses.metric_pca(samples, train, test))),
+        "forecast": analyses.window_forecast(samples, length=1, against="target"),
+        "reconstruction": analyses.window_reconstruction(samples, length=2, k=1),
+        "wavelet": analyses.wavelet_forecast(samples, train, later, length=1, against="target"),
+        "forest": forest.withColumn("is_anomaly", F.col("anomaly") == -1),
+    }
+    # Samples stand at full hours, so an interval counts from the hour it begins in.
+    log = fx.anomaly_log(spark, sf_dir).withColumn("start_ts", fx.hour("start_ts"))
+    out = labels.compare_detectors(results, log)
+    return out.select("detector", "tp", "fp", "fn", "tn", *[r(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@check(
+    "window_reconstruction_eight",
+    recursive_sql(
+        *_MINMAX,
+        "windowed as (select slice_id, split, ts, list(v) over (partition by slice_id, split order by ts rows between 8 preceding and 1 preceding) as x from parts)",
+        "cells as (select slice_id, split, ts, unnest(range(8)) as series_id, unnest(x) as v from windowed where len(x) = 8)",
+        residual_sql("cells", k=4),
+    ) + "select slice_id, split, ts, round(avg(r * r), 6) as loss from residual group by 1, 2, 3",
+)
+def window_reconstruction_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of eight values through four components."""
+    found = analyses.window_reconstruction(fx.gauge(spark, sf_dir), length=8)
+    return found.select("slice_id", "split", "ts", r("loss").alias("loss"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,3 +90,15 @@ def evaluate(df: DataFrame, keys: Sequence[str] = ("detector",), flag: str = "fl
         F.try_divide(tp, tp + fn).alias("recall"),
         F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
+
+
+def compare_detectors(results: Mapping[str, DataFrame], log: DataFrame, flag: str = "is_anomaly") -> DataFrame:
+    """Confusion counts, precision, recall and F1 of each named result (ts, flag) against the logged intervals.
+
+    A row that a detector could not judge (null flag) counts as not flagged.
+    """
+    calls = [
+        found.select(F.lit(name).alias("detector"), "ts", F.coalesce(F.col(flag), F.lit(False)).alias("flagged"))
+        for name, found in results.items()
+    ]
+    return evaluate(label_intervals(reduce(DataFrame.unionByName, calls), log))
