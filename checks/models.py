@@ -10,9 +10,9 @@ from checks.fixtures import moment, r, recursive_sql, table, to_scaled, with_sql
 from checks.registry import check
 from checks.spectrum import residual_sql
 from driftgrid.operators import buckets, iforest, impute, labels, pca, scale, shape, split, thresholds, vectors, wavelet
-from driftgrid.plans import analyses
+from driftgrid.plans import analyses, exports
 from driftgrid.session import fresh_path, store
-from driftgrid.sources import writers
+from driftgrid.sources import readers, schemas, writers
 
 def ranges() -> tuple[analyses.Range, analyses.Range]:
     """Train and test range of the gauge samples."""
@@ -782,3 +782,47 @@ def window_reconstruction_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight values through four components."""
     found = analyses.window_reconstruction(fx.gauge(spark, sf_dir), length=8)
     return found.select("slice_id", "split", "ts", r("loss").alias("loss"))
+
+
+# --- raw exports to losses --------------------------------------------------------------
+
+def _gauge_exports(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two CSV exports of all events that share rows; the first holds one row in ten twice."""
+    raw = fx.raw_gauge(spark, sf_dir)
+    known = {
+        "ScopeName": F.lit("scope"), "MetricName": F.lit("metric"), "TimeUnix": F.date_trunc("hour", F.col("TimeUnix")).cast("string"),
+        "Attributes": F.concat(F.lit("{'unit': '1', 'series': 's"), F.col("user_id") % 4, F.lit("'}")), "SpanId": F.col("event_id").cast("string"),
+        "ResourceAttributes": F.col("ResourceAttributes"), "Value": F.col("Value"),
+    }
+    names = [c.split()[0] for c in schemas.GAUGE.split(", ")]
+    columns = [known.get(c, F.lit(None).cast("string")).alias(c) for c in names]
+    digit = F.col("event_id") % 10
+    first = raw.filter(digit <= 6)
+    out = []
+    for part in (first.unionByName(first.filter(digit == 0)), raw.filter(digit >= 4)):
+        path = fresh_path(spark, "export")
+        part.select(*columns).write.option("escape", '"').csv(path)
+        out.append(readers.read_metrics_csv(spark, path, schemas.GAUGE))
+    return out
+
+
+_EXPORT_ROWS = """export_rows as (
+  select case when event_id % 97 = 0 then 'unparsed ' || event_type
+           else '{"host.name":"h' || (user_id % 3) || '","os.type":"linux","service.name":"' || event_type || '"}' end as slice_id,
+         user_id % 4 as series_id, date_trunc('hour', ts) as ts, "value" as v, case when event_id % 10 = 0 then 2 else 1 end as copies
+  from events where event_id % 17 <> 0 and event_id % 19 <> 0 and "value" is not null)"""
+_EXPORT_GRID = """grid as (
+  select slice_id, ts, series_id, sum(v * copies) / sum(copies) as v
+  from export_rows semi join (select slice_id from export_rows group by 1 having count(distinct ts) >= 50) using (slice_id) group by 1, 2, 3)"""
+_EXPORT_BOTH = """both_splits as (select * from tagged semi join (
+    select slice_id from tagged group by 1 having count(distinct split) = 2) using (slice_id))"""
+
+
+@check(
+    "gauge_export_pca",
+    recursive_sql(_EXPORT_ROWS, _EXPORT_GRID, *fx.TO_SCALED[2:], _TRAIN_TEST, _EXPORT_BOTH, residual_sql("both_splits", k=2)) + _LOSS,
+)
+def gauge_export_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw gauge exports in CSV to the losses of every resource, two components kept."""
+    samples = exports.metric_samples(_gauge_exports(spark, sf_dir))
+    return analyses.metric_pca(samples, *ranges(), k=2).withColumn("loss", r("loss"))

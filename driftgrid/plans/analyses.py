@@ -20,9 +20,11 @@ Range = tuple[Column, Column]
 def long_enough(samples: DataFrame, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
     """Sparse samples (slice_id, ts, series_id, value) to the means of the slices long enough.
 
-    The samples are read once: their means are written out, since several steps use them.
+    The samples are read once: their means are written out, since several steps use them.  A column ``copies``,
+    as a merge leaves it, weighs the samples.
     """
-    grid = shape.min_length(store(shape.to_grid(samples)), rows)
+    weight = "copies" if "copies" in samples.columns else None
+    grid = shape.min_length(store(shape.to_grid(samples, weight=weight)), rows)
     return grid if cutoff is None else prune_one_sided(grid, cutoff)
 
 
