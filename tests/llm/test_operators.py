@@ -116,6 +116,40 @@ def test_language_model(documents):
     assert nothing.tokens == 0 and logbilinear.score(docs, nothing).count() == len(rows)
 
 
+def test_language_model_gives_every_word_a_probability(documents):
+    """The whole vocabulary and one unseen word per cluster sum to 1 after any word."""
+    pairs = [("roter", "apfel"), ("gelbe", "birne"), ("blaue", "welle"), ("alter", "nagel")]
+    rows = [(i, " ".join(w for n in range(3) for w in pairs[(i + n) % 4]) + f" x{i}", "de", "a") for i in range(200)]
+    for share in (logbilinear.HEAD_SHARE, 0.04):  # vectors sent to the tasks, and met in the join
+        model = logbilinear.fit(documents(rows), classes=6, head_share=share)
+        words = {r["token"]: r["uses"] for r in model.counts.collect()}
+        assert {r["token"]: r["uses"] for r in model.rest.collect()} == {w: n for w, n in words.items() if w not in model.classes}
+        named = [w.decode() for w in words if w]
+        found = {logbilinear.cluster(w) for w in words if w not in model.classes}
+        unseen = {}
+        for n in range(100_000):
+            if f"{n:05}".encode() not in words:
+                unseen.setdefault(logbilinear.cluster(f"{n:05}".encode()), f"{n:05}")
+        assert len(unseen) == logbilinear.CLUSTERS and found
+        for before in ("roter", "x7", "nagel"):
+            # score(before w) - score(before) with the ends taken off by the tables
+            tries = ["", *named, *unseen.values()]
+            got = {r["doc_id"]: r["score"] for r in logbilinear.score(documents([(n, f"{before} {w}", "de", "a") for n, w in enumerate(tries)]), model).collect()}
+            alone = got[0]
+            first, second, normal = model.tables
+            places = logbilinear.Places({w: n + logbilinear.CLUSTERS for n, w in enumerate(model.classes)})
+            i, end = places[before.encode()], places[b""]
+            assert end >= logbilinear.CLUSTERS
+
+            def last(i, j):
+                return first[i, end] + second[j, end] - normal[i, j]
+
+            start = first.shape[0] - 1
+            common = alone * np.log(10) - last(start, i)  # log P(before)
+            total = np.exp(last(start, i)) + sum(np.exp(got[n] * np.log(10) - common - last(i, places[w.encode()])) for n, w in enumerate(tries) if w)
+            assert total == pytest.approx(1, abs=2e-3)
+
+
 def test_mix(documents):
     rows = [*EDGES] + [(100 + i, words_text(i, 10 + 7 * i), "de", "abc"[i % 3]) for i in range(60)]
     docs = documents(rows)
