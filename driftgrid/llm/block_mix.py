@@ -3,7 +3,7 @@
 The words of each source, in a fixed order of its documents, are packed into blocks of fixed length.
 Weights and sizes give each source a target, and the target a number of slots.  A permutation of
 all slots deals them to output shards, so that the source counts of a shard are a multinomial draw
-under the corpus totals.  The k-th slot of a source is mapped to a block by a permutation of the
+under the corpus totals.  Shards take their counts of each source one after the other.  The k-th slot of a source is mapped to a block by a permutation of the
 source's block numbers, one per pass over the source, and blocks are joined to slots by their number.  The last
 slot of a source takes only the words that are missing to its target.
 
@@ -123,14 +123,46 @@ def pass_seed(passes: Column) -> Column:
     return F.col("rank") * 1009 + passes
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(shard, slot, rank, pass, block, words, full): which block fills each slot of the output, and with how many words."""
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), whole(F.col("slots") - 1, F.lit(CHUNK))))
-    # The parts of a large source are dealt out before they become slots: a task gets about two chunks.
-    tasks = (sources.agg(F.max("all_slots")).first()[0] or 0) // (2 * CHUNK) + 1
-    parts = sources.filter("slots > 0").withColumn("chunk", chunk).repartition(tasks, F.col("rank"), F.col("chunk"))
+def chunked(rows: DataFrame, slots: str, tasks: int, *keys: str) -> DataFrame:
+    """``rows`` with k = 0..slots-1, dealt out in chunks before they become slots: a task gets about two chunks."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), whole(F.col(slots) - 1, F.lit(CHUNK))))
     first = F.col("chunk") * CHUNK
-    each = parts.withColumn("k", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)))
+    parts = rows.filter(F.col(slots) > 0).withColumn("chunk", chunk).repartition(tasks, *(F.col(k) for k in keys), F.col("chunk"))
+    return parts.withColumn("k", F.explode(F.sequence(first, F.least(first + CHUNK, F.col(slots)) - 1))).drop("chunk")
+
+
+def task_count(sources: DataFrame) -> int:
+    return (sources.agg(F.max("all_slots")).first()[0] or 0) // (2 * CHUNK) + 1
+
+
+def shard_counts(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(shard, rank, count, before, left): the slots that each output shard draws of each source, stored.
+
+    A permutation of all slots deals them to shards, so the counts of a shard are a multinomial draw under the
+    slots of the sources.  before: slots of the source in earlier shards; left: slots of earlier ranks in the shard.
+    """
+    each = chunked(sources.select("rank", "slots", "offset", "all_slots"), "slots", task_count(sources), "rank")
+    slot = permuted(F.col("offset") + F.col("k"), F.col("all_slots"), F.lit(0).cast("long"))
+    counts = each.groupBy(whole(slot, F.lit(shard)).alias("shard"), "rank").agg(F.count("*").alias("count"))
+    earlier = Window.partitionBy("rank").orderBy("shard")
+    lower = Window.partitionBy("shard").orderBy("rank")
+    return store(
+        counts.withColumn("before", F.sum("count").over(earlier) - F.col("count")).withColumn("left", F.sum("count").over(lower) - F.col("count"))
+    )
+
+
+def slots(sources: DataFrame, counts: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """(shard, slot, rank, pass, block, words, full): which block fills each slot of the output, and with how many words.
+
+    The counts of a shard say how many blocks it takes of each source, those before it where the source goes on.
+    A permutation within the shard mixes its sources.
+    """
+    names = ["slots", "blocks", "short", "part", "last", "all_slots"]
+    rows = lookup(counts, sources.select("rank", *names), "rank")
+    each = chunked(rows, "count", task_count(sources), "shard", "rank")
+    room_of_shard = F.least(F.lit(shard).cast("long"), F.col("all_slots") - F.col("shard") * shard)
+    each = each.withColumn("slot", F.col("shard") * shard + permuted(F.col("left") + F.col("k"), room_of_shard, F.col("shard") + 1))
+    each = each.withColumn("k", F.col("before") + F.col("k"))
     each = each.withColumn("pass", whole(F.col("k"), F.col("blocks")))
     each = each.withColumn("block", permuted(F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), pass_seed(F.col("pass"))))
     room = F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(block))
@@ -138,15 +170,18 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     return (
         each.withColumn("words", F.when(cut, F.col("last")).otherwise(room))
         .withColumn("full", F.col("words") == room)
-        .withColumn("slot", permuted(F.col("offset") + F.col("k"), F.col("all_slots"), F.lit(0).cast("long")))
-        .withColumn("shard", whole(F.col("slot"), F.lit(shard)))
         .select("shard", "slot", "rank", "pass", "block", "words", "full")
     )
 
 
-def shard_counts(dealt: DataFrame) -> DataFrame:
-    """Slots per output shard and source."""
-    return dealt.groupBy("shard", "rank").agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
+def packed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, **columns: str) -> DataFrame:
+    """(shard, slot, rank, pass, block, words): the blocks of the mix by output shard and slot, one row per slot.
+
+    Sources have their rank as in ``targets``; words counts from the start of the block.  Slots are numbered through all shards.
+    """
+    ready(docs.sparkSession)
+    sources = targets(measured(docs, **columns), weights, block)
+    return slots(sources, shard_counts(sources, shard), block, shard).drop("full")
 
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -194,7 +229,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, *
     sizes = measured(docs, **columns)
     sources = targets(sizes, weights, block)
     spots = placed(sizes, sources)
-    used = slots(sources, block).groupBy("rank", "block").agg(
+    used = slots(sources, shard_counts(sources), block).groupBy("rank", "block").agg(
         F.count_if("full").alias("times"), F.max(F.when(~F.col("full"), F.col("words")).otherwise(0)).alias("head")
     )
     cut = F.least("stop", F.col("block") * block + F.col("head")) - F.col("start")
@@ -219,7 +254,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: in
     sizes = store(kept.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")))
     sources = targets(sizes, weights, block)
     spots = placed(sizes, sources)
-    dealt = slots(sources, block).select("rank", "block", "pass", "words")
+    dealt = slots(sources, shard_counts(sources), block).select("rank", "block", "pass", "words")
     heads = F.least("stop", F.col("block") * block + F.col("words"))
     parts = (
         pieces(spots, block).join(dealt, ["rank", "block"]).withColumn("stop", heads).filter("stop > start")

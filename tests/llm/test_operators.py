@@ -169,6 +169,23 @@ def test_mix(documents):
     assert {r.doc_id: r.n for r in words.itertuples() if r.doc_id == r.doc_id} == {k: v for k, v in per.items() if v > 0}
 
 
+def test_mix_follows_shard_counts(documents):
+    docs = documents([*EDGES] + [(100 + i, words_text(i, 10 + 7 * i), "de", "abc"[i % 3]) for i in range(60)])
+    sources = block_mix.targets(block_mix.measured(docs), block=16)
+    counts = block_mix.shard_counts(sources, shard=50)
+    dealt = block_mix.packed(docs, block=16, shard=50).toPandas()
+    total = sources.toPandas().set_index("rank")["slots"]
+    assert sorted(dealt["slot"]) == list(range(total.sum())) and (dealt["slot"] // 50 == dealt["shard"]).all()
+    drawn = {(r["shard"], r["rank"]): r["count"] for r in counts.collect()}
+    assert dealt.groupby(["shard", "rank"]).size().to_dict() == drawn and len({s for s, _ in drawn}) == -(-total.sum() // 50)
+    assert dealt.groupby("rank").size().to_dict() == total[total > 0].to_dict()
+    # The take follows the counts: a shard takes each source where the one before left off.
+    by_k = dealt.sort_values(["rank", "pass", "shard"])
+    assert all((g["shard"].diff().dropna() >= 0).all() for _, g in by_k.groupby("rank"))
+    taken = block_mix.mix(docs, block=16).toPandas()["taken"].sum()
+    assert dealt["words"].sum() == taken
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_permutation(spark, n):
     rows = spark.range(n).select("id", block_mix.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p"))
