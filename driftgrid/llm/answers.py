@@ -175,6 +175,45 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from measured left join failed using (doc_id)
 """
 
+OP11 = """
+with taken as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scores as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+    from taken a join taken b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scores where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 10
+"""
+
+
+def number(eighth: int) -> str:
+    return f"cast('0x' || substr(h, {8 * eighth + 1}, 8) as bigint)"
+
+
+OP13 = f"""
+with units as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+    from documents),
+drawn as (select *, len(u) as n, {number(0)} as h1, {number(1)} as h2, {number(2)} as h3, {number(3)} as h4 from units),
+cut as (
+    select doc_id, t, n,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form,
+        array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') as p,
+        array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') as m,
+        array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') as s
+    from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(t) as restored_sha256
+from cut
+"""
+
 SQL = {
     "op1_ownership_secrets": OP1,
     "op5_block_mix": OP5,
@@ -182,4 +221,6 @@ SQL = {
     "op7_sign_hash_vectors": OP7,
     "op8_minmax_near_dedup": OP8,
     "op10_risk_rules": OP10,
+    "op11_anchor_negatives": OP11,
+    "op13_rank_index_fim": OP13,
 }

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm import backoff_langid, block_mix, chunk_bpe, line_runs, logbilinear, minmax_hash, ownership, pu_toxicity, risk_rules, sign_hash
+from driftgrid.llm import (
+    anchor_negatives, backoff_langid, block_mix, chunk_bpe, line_runs, logbilinear, minmax_hash, ownership, prefix_forest, pu_toxicity, rank_index_fim, risk_rules, sign_hash,
+)
 from driftgrid.llm.answers import SQL  # noqa: F401
 from driftgrid.llm.common import ready, remainder, table
 
@@ -88,10 +90,30 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op11_anchor_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors, with the label of every seventh moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(ready(spark), sf_dir, "embeddings").withColumn("label", moved)
+    return anchor_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op12_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return prefix_forest.nearest(table(ready(spark), sf_dir, "embeddings"))
+
+
+def op13_rank_index_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut for filling in the middle, and put together again."""
+    made = rank_index_fim.fill_in_middle(table(ready(spark), sf_dir, "documents"))
+    again = rank_index_fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ownership_secrets, op2_backoff_langid, op3_pu_toxicity, op4_logbilinear_lm, op5_block_mix,
         op6_line_runs, op7_sign_hash_vectors, op8_minmax_near_dedup, op9_chunk_bpe, op10_risk_rules,
+        op11_anchor_negatives, op12_prefix_forest, op13_rank_index_fim,
     )
 }
