@@ -6,12 +6,9 @@ of two words predicts the next class: the sum of the two context vectors times t
 Every task trains on all its texts from the same start with noise samples, and Spark averages the weights by
 the number of tokens.  The normaliser of every pair of context classes comes from one matrix product.
 
-A word of a cluster is predicted by a second log-bilinear model: its own vector times the vector of the last
-class.  Word vectors are one Newton step from the word counts, which needs only the mean context of each word, and are
-shrunk the more the fewer uses a word has: by how much the means of words differ beyond chance.  The
-normaliser of each cluster and last class is a sum over all words of the cluster.  Vectors of
-frequent words go to the tasks, those of all others stay in a table and are joined on the word.  A word that was never
-counted has the weight of one count more in its cluster.
+A word of a cluster has its share of the counts of the cluster, each raised by one; a word that was never counted has
+the share of one count more.  So the probabilities of all words after any context add up to one.  Counts of frequent words
+go to the tasks; those of all others stay in a table and are joined on the word.
 """
 
 from __future__ import annotations
@@ -34,10 +31,6 @@ CLASSES, WIDTH, NOISE, STEP_TOKENS = 2048, 16, 48, 8192
 RATE = 0.15
 #: Clusters of all other words, the bytes of a word's end that name its cluster.
 CLUSTERS, ENDING = 256, 3
-#: Most that a context can move the logarithm of a word's weight; everywhere alike, so that sums stay finite and probabilities exact.
-REACH = 30
-#: Parts that the words of a cluster are dealt to, and rows per Arrow batch where rows are words.
-PARTS, WORD_ROWS = 8, 8192
 HELD = 300_000
 COUNTS = "token binary, uses long"
 END = b""  # no word is empty, so the end of a text is counted as the empty word
@@ -128,19 +121,15 @@ class Net:
         return first, second, (np.log(total) + top1 + top2.T).astype(np.float32)
 
 
-def contexts(texts, places: Places, k: int, held: dict[bytes, list[int]], rows: int = 200_000):
-    """Class arrays (before last, last, next) of many texts at once; ``held`` gets the last classes before each word of a cluster."""
+def contexts(texts, places: Places, k: int, rows: int = 200_000):
+    """Class arrays (before last, last, next) of many texts at once."""
     i, j, y, size = [], [], [], 0
     get = places.__getitem__
     for text in texts:
-        words = words_of(text)
-        ids = np.array([k, k, *map(get, words)], np.int64)
+        ids = np.array([k, k, *map(get, words_of(text))], np.int64)
         i.append(ids[:-2])
         j.append(ids[1:-1])
         y.append(ids[2:])
-        at = np.flatnonzero(y[-1] < CLUSTERS)
-        for n, c in zip(at.tolist(), j[-1][at].tolist()):
-            held.setdefault(words[n], []).append(c)
         size += len(ids) - 2
         if size >= rows:
             yield np.concatenate(i), np.concatenate(j), np.concatenate(y)
@@ -149,63 +138,15 @@ def contexts(texts, places: Places, k: int, held: dict[bytes, list[int]], rows:
         yield np.concatenate(i), np.concatenate(j), np.concatenate(y)
 
 
-def kind_of(k: int) -> np.dtype:
-    """The integers that hold classes in binary columns."""
-    return np.dtype("<u2" if k < 1 << 16 else "<u4")
-
-
-def flat(column: pa.Array, kind) -> np.ndarray:
-    """All values of a binary column in one array."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def by_words(df: DataFrame, run, shape: str) -> DataFrame:
-    """``df.mapInArrow``, stored, with batches for rows that are words."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(WORD_ROWS))
-    try:
-        return store(df.mapInArrow(run, shape))
-    finally:
-        conf.set(key, before)
-
-
-class Inner:
-    """The model inside the clusters: P(w | cluster, last) = weight(w) exp(v(w) q(last)) / normaliser.
-
-    q: a row per last class, white within clusters; means: the mean q of each cluster; between: the part of the variance of q
-    that lies between words, by dimension; norms: logarithms of the normalisers; turn: takes stored means into the space of q.
-    """
-
-    def __init__(self, q: np.ndarray, means: np.ndarray, between: np.ndarray, norms: np.ndarray | None = None, turn: tuple = (0, np.eye(WIDTH))):
-        self.q, self.means, self.between, self.norms = q.astype(np.float32), means.astype(np.float32), between.astype(np.float32), norms
-        self.turn = tuple(np.asarray(x, np.float32) for x in turn)
-
-    def parts(self) -> tuple:
-        """What a broadcast holds, as tasks know this class only from their own code."""
-        return self.q, self.means, self.between, self.norms, self.turn
-
-    def turned(self, stored: np.ndarray) -> np.ndarray:
-        """Mean contexts as they are stored, in the space of q."""
-        middle, white = self.turn
-        return (stored.reshape(-1, WIDTH).astype(np.float32) - middle) @ white
-
-    def vectors(self, uses: np.ndarray, after: np.ndarray, clusters: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(v, log weight) of words with these uses, distinct last classes, clusters and mean contexts."""
-        size, within = after.astype(np.float32)[:, None] * self.between, 1 - self.between
-        v = (mean - self.means[clusters]) * size / (size + within) / within
-        return v, np.log(uses + 1) - (v * self.means[clusters]).sum(axis=1) - (v * v * within).sum(axis=1) / 2
-
-
 class Model:
     """Counts (a stored table, and its head of words with at least ``least`` uses), totals, and the neural tables.
 
-    rest: a stored table (token, uses, after, cluster, mean) of all words of clusters; inner: their model.
+    weights: logarithm of the summed weights of the words of each cluster.
     """
 
-    def __init__(self, counts: DataFrame, tokens: int, types: int, least: float, head: dict[bytes, int], classes: list[bytes], tables, rest: DataFrame | None, inner: Inner):
+    def __init__(self, counts: DataFrame, tokens: int, types: int, least: float, head: dict[bytes, int], classes: list[bytes], tables, weights: np.ndarray):
         self.counts, self.tokens, self.types, self.least = counts, tokens, types, least
-        self.head, self.classes, self.tables, self.rest, self.inner = head, classes, tables, rest, inner
+        self.head, self.classes, self.tables, self.weights = head, classes, tables, weights
 
 
 def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES, head_share: float = HEAD_SHARE) -> Model:
@@ -218,20 +159,23 @@ def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES, head_share:
     head = counts.filter(F.col("uses") >= least).toArrow() if tokens else None
     known = dict(zip(*(c.to_pylist() for c in head.columns))) if tokens else {}
     top = sorted(known, key=lambda w: (-known[w], w))[: classes - 1]
-    shares = np.ones(CLUSTERS)
+    # Of each cluster: uses, and words; words with a class of their own are not in it.
+    shares, types_in = np.ones(CLUSTERS), np.ones(CLUSTERS)
     if tokens:
         named = F.crc32(F.substring("token", -ENDING, ENDING))
-        for r in counts.groupBy((named % CLUSTERS).cast("int").alias("cluster")).agg(F.sum("uses").alias("uses")).collect():
+        for r in counts.groupBy((named % CLUSTERS).cast("int").alias("cluster")).agg(F.sum("uses").alias("uses"), F.count("*").alias("types")).collect():
             shares[r["cluster"]] += r["uses"]
+            types_in[r["cluster"]] += r["types"]
         for w in top:
             shares[cluster(w)] -= known[w]
+            types_in[cluster(w)] -= 1
+    weights = np.log(shares - 1 + types_in)
     noise = np.concatenate([shares, np.array([known[w] for w in top], np.float64)])
     noise /= noise.sum()
     net = Net(np.log(noise))
     if not tokens:
-        nothing = Inner(np.zeros((net.k + 1, WIDTH)), np.zeros((CLUSTERS, WIDTH)), np.zeros(WIDTH), np.zeros((CLUSTERS, net.k + 1), np.float32))
-        return Model(counts, tokens, types, least, known, top, net.tables(), None, nothing)
-    start, kind = spark.sparkContext.broadcast((top, noise)), kind_of(net.k)
+        return Model(counts, tokens, types, least, known, top, net.tables(), weights)
+    start = spark.sparkContext.broadcast((top, noise))
     values = [f"v{d}" for d in range(WIDTH)]
 
     def run(batches):
@@ -239,118 +183,24 @@ def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES, head_share:
 
         top, noise = start.value
         places = Places({w: n + CLUSTERS for n, w in enumerate(top)})
-        net, seen, held = Net(np.log(noise)), 0, {}
-
-        def out():
-            """The last classes before each word of a cluster."""
-            n = len(held)
-            at = [np.array(x, kind).tobytes() for x in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(at, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), *[pa.nulls(n, pa.float64())] * WIDTH], names=["token", "at", "row", "seen", *values])
-
-        for n in net.train(contexts((t for b in batches for t in b.column(0).to_pylist()), places, net.k, held), noise, TaskContext.get().partitionId()):
+        net, seen = Net(np.log(noise)), 0
+        for n in net.train(contexts((t for b in batches for t in b.column(0).to_pylist()), places, net.k), noise, TaskContext.get().partitionId()):
             seen += n
-            if len(held) > HELD:
-                yield out()
-                held.clear()
-        yield out()
         if seen:
             rows = np.concatenate([net.table.reshape(-1, WIDTH), np.pad(net.bias[:, None], ((0, 0), (0, WIDTH - 1)))])
             # Sums of weight times value: Spark adds them up per row.
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(seen)))] + [pa.array(rows[:, d].astype(np.float64) * seen) for d in range(WIDTH)],
-                names=["token", "at", "row", "seen", *values],
+                [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(seen)))] + [pa.array(rows[:, d].astype(np.float64) * seen) for d in range(WIDTH)],
+                names=["row", "seen", *values],
             )
 
-    shape = "token binary, at binary, row int, seen double, " + ", ".join(f"{v} double" for v in values)
-    learned = store(texts.mapInArrow(run, shape))
-    got = learned.filter("row is not null").groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(v).alias(v) for v in values)).orderBy("row").toArrow()
+    shape = "row int, seen double, " + ", ".join(f"{v} double" for v in values)
+    learned = texts.mapInArrow(run, shape).groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(v).alias(v) for v in values))
+    got = learned.orderBy("row").toArrow()
     rows = np.stack([got[v].to_numpy() for v in values], axis=1) / got["seen"].to_numpy()[:, None]
     cut = 3 * (net.k + 1)
     net = Net(rows[cut:, 0], rows[:cut].astype(np.float32).reshape(3, net.k + 1, WIDTH))
-    rest, inner = fit_words(learned.filter("token is not null").select("token", "at"), net, kind)
-    return Model(counts, tokens, types, least, known, top, net.tables(), rest, inner)
-
-
-def fit_words(seen: DataFrame, net: Net, kind: np.dtype) -> tuple[DataFrame, Inner]:
-    """The table of all words of clusters and their model, from rows (token, at) with the last classes before a word.
-
-    A last class counts once for a word, so that copies of a text do not pass for evidence.
-    """
-    spark = seen.sparkSession
-    shared = spark.sparkContext.broadcast(net.table[1])
-
-    def means(batches):
-        q = shared.value
-        lasts = np.zeros(len(q))
-        for b in batches:
-            if not len(b):
-                continue
-            uses = np.array([sum(map(len, x)) // kind.itemsize for x in b.column(1).to_pylist()], np.int64)
-            key = np.unique(np.repeat(np.arange(len(uses)), uses) * len(q) + flat(b.column(1).flatten(), kind))
-            word, at = key // len(q), key % len(q)
-            after = np.bincount(word, minlength=len(uses))
-            lasts += np.bincount(at, minlength=len(q))
-            mean = np.add.reduceat(q[at], np.concatenate([[0], after[:-1].cumsum()]), axis=0) / after[:, None]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(uses), pa.array(after), pa.array([cluster(w) for w in b.column(0).to_pylist()], pa.int32()), pa.array([x.tobytes() for x in mean.astype(np.float16)], pa.binary())],
-                names=["token", "uses", "after", "cluster", "mean"],
-            )
-        # A row without word: how often each last class was counted.
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.binary()), pa.array([0]), pa.array([0]), pa.array([-1], pa.int32()), pa.array([lasts.tobytes()], pa.binary())], names=["token", "uses", "after", "cluster", "mean"]
-        )
-
-    every = by_words(seen.groupBy("token").agg(F.collect_list("at").alias("at")), means, "token binary, uses long, after long, cluster int, mean binary")
-    rest, lasts = every.filter("token is not null"), np.zeros(net.k + 1)
-    for r in every.filter("token is null").select("mean").toLocalIterator():
-        lasts += np.frombuffer(r["mean"])
-
-    def moments(batches):
-        sums, square = np.zeros((CLUSTERS, WIDTH + 2)), np.zeros((WIDTH, WIDTH))
-        for b in batches:
-            after, own, mean = b.column(0).to_numpy(), b.column(1).to_numpy(), flat(b.column(2), np.float16).reshape(-1, WIDTH).astype(np.float64)
-            np.add.at(sums, own, np.column_stack([np.ones(len(own)), after, after[:, None] * mean]))
-            square += (mean * after[:, None]).T @ mean
-        # Rows of clusters, then those of the second moments.
-        values = np.concatenate([sums, np.pad(square, ((0, 0), (2, 0)))])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), *(pa.array(values[:, d]) for d in range(WIDTH + 2))], names=["row", *names])
-
-    names = [f"v{d}" for d in range(WIDTH + 2)]
-    summed = by_words(rest.select("after", "cluster", "mean"), moments, "row int, " + ", ".join(f"{v} double" for v in names))
-    got = summed.groupBy("row").agg(*(F.sum(v).alias(v) for v in names)).orderBy("row").toArrow()
-    values = np.stack([got[v].to_numpy() for v in names], axis=1)
-    types, after, sums, square = values[:CLUSTERS, 0].sum(), values[:CLUSTERS, 1], values[:CLUSTERS, 2:], values[CLUSTERS:, 2:]
-    n, means, q = max(after.sum(), 1), sums / np.maximum(after, 1)[:, None], net.table[1].astype(np.float64)
-    own = sums.T @ means  # the second moments of the clusters' means
-    size, turn = np.linalg.eigh(((q * lasts[:, None]).T @ q - own) / n)
-    white = turn / np.sqrt(np.maximum(size, 1e-3 * max(size.mean(), 1e-6)))
-    # Means of words differ by chance as 1 / after; what they differ by beyond that is between words.
-    size, turn = np.linalg.eigh(white.T @ (square - own) @ white)
-    between = np.clip((size - types) / max(n - types, 1), 0, 0.9)
-    middle, white = sums.sum(axis=0) / n, white @ turn
-    inner = Inner((q - middle) @ white, (means - middle) @ white, between, turn=(middle, white))
-    model = spark.sparkContext.broadcast(inner.parts())
-
-    def normalisers(batches):
-        inner, sums = Inner(*model.value), {}
-        for b in batches:
-            uses, after, own = (b.column(c).to_numpy() for c in range(3))
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            v, weight = inner.vectors(uses[order], after[order], own, inner.turned(flat(b.column(3), np.float16))[order])
-            each = np.exp(np.clip(v @ inner.q.T, -REACH, REACH) + weight[:, None].astype(np.float32))
-            firsts = np.flatnonzero(np.diff(own, prepend=-1))
-            for c, z in zip(own[firsts].tolist(), np.add.reduceat(each, firsts, axis=0, dtype=np.float64) if len(own) else ()):
-                sums[c] = sums[c] + z if c in sums else z
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([z.tobytes() for z in sums.values()], pa.binary())], names=["cluster", "z"])
-
-    # A cluster may be large, so its words are dealt to parts; at most CLUSTERS * PARTS rows come back.
-    dealt = rest.repartition(F.col("cluster"), F.pmod(F.hash("token"), F.lit(PARTS))).select("uses", "after", "cluster", "mean")
-    total = np.ones((CLUSTERS, net.k + 1))  # the word that was never counted
-    for r in by_words(dealt, normalisers, "cluster int, z binary").toLocalIterator():
-        total[r["cluster"]] += np.frombuffer(r["z"], np.float64)
-    inner.norms = np.log(total).astype(np.float32)
-    return rest, inner
+    return Model(counts, tokens, types, least, known, top, net.tables(), weights)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -360,80 +210,49 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     text has one token, its end.  Only the text is looked at, a null id stays null.
     """
     spark = ready(docs.sparkSession)
-    base_total, k, inner = np.log10(model.tokens + model.types + 1), len(model.classes) + CLUSTERS, model.inner
-    kind = kind_of(k)
-    frequent = model.rest.filter(F.col("uses") >= model.least).toArrow().combine_chunks() if model.rest is not None else None
-    vectors: tuple = ([], np.zeros((0, WIDTH), np.float32), np.zeros(0))
-    if frequent is not None and len(frequent):
-        numbers = (frequent[c].to_numpy() for c in ("uses", "after", "cluster"))
-        vectors = (frequent["token"].to_pylist(), *inner.vectors(*numbers, inner.turned(flat(frequent["mean"], np.float16))))
-    shared = spark.sparkContext.broadcast((model.head, model.classes, model.tables, inner.parts(), vectors))  # bounded by 1 / HEAD_SHARE, CLASSES and CLUSTERS
+    base_total, k = np.log10(model.tokens + model.types + 1), len(model.classes) + CLUSTERS
+    shared = spark.sparkContext.broadcast((model.head, model.classes, model.tables, model.weights))  # bounded by 1 / HEAD_SHARE, CLASSES and CLUSTERS
 
     def run(batches):
-        head, classes, (first, second, normal), parts, (tokens, vectors, weights) = shared.value
-        inner = Inner(*parts)
+        head, classes, (first, second, normal), weights = shared.value
         place = {w: n for n, w in enumerate(head)}
         used = np.log10(np.array([*head.values(), 0], np.float64) + 1)
         places = Places({w: n + CLUSTERS for n, w in enumerate(classes)})
         kinds = np.array([*(places[w] for w in head), 0], np.int64)
-        # Rows of the head; zero for words with a class of their own and for those outside.
-        v, weight = np.zeros((len(head) + 1, WIDTH), np.float32), np.zeros(len(head) + 1)
-        at = [place[w] for w in tokens]
-        v[at], weight[at] = vectors, weights
+        inside = np.where(kinds < CLUSTERS, used, 0)  # logarithms of the weights of the words of clusters
+        of_class = np.concatenate([weights, np.zeros(k - CLUSTERS)])
         other, get = len(head), place.get
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for row, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            out: list[list] = [[] for _ in range(6)]
+            for text in b.column(2).to_pylist():
                 words = words_of(text)
                 at = np.array([get(w, other) for w in words], np.int64)
                 cls = np.concatenate([[k, k], kinds[at]])
-                far, tail = np.flatnonzero(at == other).tolist(), {}
+                far = np.flatnonzero(at == other).tolist()
                 for n in far:
                     cls[n + 2] = cluster(words[n])
+                tail = Counter(words[n] for n in far)
                 i, j, y = cls[:-2], cls[1:-1], cls[2:]
-                for n, c in zip(far, j[far].tolist() if far else ()):
-                    tail.setdefault(words[n], []).append(c)
-                neural = float((first[i, y] + second[j, y] - normal[i, j]).sum(dtype=np.float64))
-                inside = np.flatnonzero(y < CLUSTERS)
-                a, last = at[inside], j[inside]
-                neural += float((weight[a] + np.clip(np.einsum("ij,ij->i", v[a], inner.q[last]), -REACH, REACH) - inner.norms[y[inside], last]).sum(dtype=np.float64))
-                for o, x in zip(out, (
-                    len(words), len(words) - len(far), float(used[at].sum()) - len(words) * base_total, neural / np.log(10),
-                    list(tail), [len(x) for x in tail.values()], [np.array(x, kind).tobytes() for x in tail.values()], row,
-                )):
+                neural = float((first[i, y] + second[j, y] - normal[i, j] - of_class[y]).sum(dtype=np.float64)) / np.log(10) + float(inside[at].sum())
+                row = (len(words), len(words) - len(far), float(used[at].sum()) - len(words) * base_total, neural, list(tail), list(tail.values()))
+                for o, x in zip(out, row):
                     o.append(x)
+            kinds_out = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[7], pa.int64()), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()),
-                 pa.array(out[3], pa.float64()), pa.array(out[4], pa.list_(pa.binary())), pa.array(out[5], pa.list_(pa.int64())), pa.array(out[6], pa.list_(pa.binary()))],
-                names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "tail", "tail_uses", "tail_at"],
+                [b.column(0), b.column(1), *(pa.array(o, t) for o, t in zip(out, kinds_out))],
+                names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "tail", "tail_uses"],
             )
 
-    shape = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<binary>, tail_uses array<long>, tail_at array<binary>"
+    shape = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<binary>, tail_uses array<long>"
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     scored = store(numbered.mapInArrow(run, shape))
-    if model.rest is None:
-        return scored.select("doc_id", "n_tokens", "n_known", "base_score", "score")
-    # Words outside the head: their counts and vectors are met in a join on the word, none of which has more than HEAD_SHARE of the learning tokens.
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_uses", "tail_at")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_uses").alias("times"), F.col("t.tail_at").alias("at"))
-    small = spark.sparkContext.broadcast(inner.parts())
-
-    def meet(batches):
-        inner = Inner(*small.value)
-        for b in batches:
-            times, uses, after, own = (b.column(c).to_numpy() for c in (1, 3, 4, 5))
-            v, weight = inner.vectors(uses, after, own, inner.turned(flat(b.column(6), np.float16)))
-            each = np.clip(np.einsum("ij,ij->i", np.repeat(v, times, axis=0), inner.q[flat(b.column(2), kind)]), -REACH, REACH)
-            sums = np.add.reduceat(each, np.concatenate([[0], times[:-1].cumsum()]), dtype=np.float64) if len(times) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(times * np.log10(uses + 1)), pa.array((sums + times * weight) / np.log(10))], names=["row", "times", "base", "neural"]
-            )
-
-    met = by_words(
-        tail.join(model.rest.filter(F.col("uses") < model.least), "token").select("row", "times", "at", "uses", "after", "cluster", "mean"),
-        meet, "row long, times long, base double, neural double",
-    ).groupBy("row").agg(F.sum("base").alias("base"), F.sum("neural").alias("neural"), F.sum("times").alias("also_known"))
-    zero = F.lit(0.0)
-    return scored.drop("tail", "tail_uses", "tail_at").join(met, "row", "left").select(
+    # Words outside the head: their counts are met in a join on the word, none of which has more than HEAD_SHARE of the learning tokens.
+    tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_uses")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_uses").alias("times"))
+    met = tail.join(model.counts.filter(F.col("uses") < model.least), "token").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("uses") + 1)).alias("more"), F.sum("times").alias("also_known")
+    )
+    more = F.coalesce("more", F.lit(0.0))
+    return scored.drop("tail", "tail_uses").join(met, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"), (F.col("score") + F.coalesce("neural", zero)).alias("score"),
+        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
