@@ -15,11 +15,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.llm.blocks import Forest
+from driftgrid import spread
 from driftgrid.llm.common import groups, ready
 from driftgrid.llm.components import components
 from driftgrid.session import store
-from driftgrid.spread import lookup
+from driftgrid.spread import lookup, store_measured
 
 #: Words per shingle, percent of similarity, bands, values per band.
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 5
@@ -149,13 +149,23 @@ def confirm(words: int, percent: int):
     return run
 
 
-def buckets(classes: DataFrame, comps: DataFrame, first: int, last: int) -> DataFrame:
+def crowded(classes: DataFrame) -> DataFrame:
+    """(doc, copy, n_shingles, t, h), stored: the bands that a class shares with another one, for all rounds.
+
+    Only the keys of all bands are shuffled; where the shared ones are few, the bands stay where they are.
+    """
+    at = classes.select("doc", "copy", "n_shingles", F.posexplode("bands").alias("t", "h")).withColumn("k", F.xxhash64("t", "h"))
+    shared, size = store_measured(at.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))
+    return store(at.join(F.broadcast(shared) if size <= spread.BROADCAST_BYTES else shared, "k").drop("k"))
+
+
+def buckets(shared: DataFrame, comps: DataFrame, first: int, last: int) -> DataFrame:
     """Members (t, h, doc, copy, comp, members, load, light, light_load, main) of the buckets of some bands that hold several components.
 
     Buckets with the same members are taken once.  ``main``: the component with most members.
     """
-    at = classes.join(comps.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    at = at.select("doc", "copy", "comp", "n_shingles", F.posexplode("bands").alias("t", "h")).filter((F.col("t") >= first) & (F.col("t") < last))
+    at = shared.filter((F.col("t") >= first) & (F.col("t") < last)).join(comps.withColumnRenamed("id", "doc"), "doc", "left")
+    at = at.select("doc", "copy", F.coalesce("component", "doc").alias("comp"), "n_shingles", "t", "h")
     print_ = F.sum(F.xxhash64("doc", "copy").cast("decimal(38,0)"))
     per = at.groupBy("t", "h", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"), print_.alias("print"))
     full = per.groupBy("t", "h").agg(
@@ -220,13 +230,12 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         usable.select("doc", "print").distinct().join(classes.select("print", F.col("doc").alias("v")), "print").select(F.col("doc").alias("u"), "v").filter("u > v")
     )
     # Texts of all candidates, once: documents that share any band with another class.
-    at = classes.select("doc", "copy", F.posexplode("bands").alias("t", "h"))
-    crowded = at.groupBy("t", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    wanted = at.join(crowded, ["t", "h"]).select("doc", "copy").distinct()
+    shared = crowded(classes)
+    wanted = shared.select("doc", "copy").distinct()
     bodies = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.col(text).cast("binary").alias("body"))
     bodies = store(lookup(bodies, wanted, ["doc", "copy"]))
     for place, first, last in ((in_parts, 0, min(FIRST_BANDS, bands)), (in_pairs, 0, bands)):
-        members = buckets(classes, components(links), first, last)
+        members = buckets(shared, components(links), first, last)
         sent = place(members).select("t", "h", "i", "j", "side", "doc", "copy", "comp").join(bodies, ["doc", "copy"])
         sent = sent.select("t", "h", "i", "j", "side", "doc", "copy", "comp", "body").repartition("t", "h", "i", "j").sortWithinPartitions("t", "h", "i", "j")
         links = store(links.union(sent.mapInArrow(confirm(words, percent), "u long, v long")))
