@@ -10,16 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid import spread
-from driftgrid.operators.vectors import centre_of, gram, matrix_of
+from driftgrid.operators.moments import moments, square, typed
 from driftgrid.session import store
 from driftgrid.spread import lookup, store_measured
 
 
-def _type_of(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return [f"`{c}` {types[c]}" for c in cols]
-
-
 def fit_pca(
     vectors: DataFrame,
     k: int | None = None,
@@ -35,17 +30,36 @@ def fit_pca(
     smallest count (``plus`` = 1, or one less with ``plus`` = 0) whose share of the variance
     reaches ``target``.  The largest loading of a component is positive.
     """
-    keys = list(keys)
-    schema = ", ".join(
-        [*_type_of(vectors, keys), "n bigint", "k int", "mean array<double>", "eigenvalues array<double>", "loadings array<double>"]
-    )
+    return pca_of(moments(vectors, keys), k, target, plus, full_rank, keys)
+
+
+def pca_of(
+    state: DataFrame,
+    k: int | None = None,
+    target: float = 0.8,
+    plus: int = 1,
+    full_rank: bool = False,
+    keys: Sequence[str] = ("slice_id",),
+    standardise: bool = False,
+) -> DataFrame:
+    """The same from moments (``moments``, ``merge_moments``), whatever vectors they come from.
 
-    def decompose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sums = matrix_of(group)
-        n = sums[0, 0]
-        mean = sums[0, 1:] / n
-        cov = sums[1:, 1:] / n - np.outer(mean, mean)
-        mean = mean + centre_of(group)
+    With ``standardise`` the components are those of the standardised vectors, of mean zero, and the columns ``center`` and
+    ``scale`` say how to standardise; a deviation of 0 counts as 1.  Other columns of the state are carried on.
+    """
+    carried = [c for c in state.columns if c not in ("n", "mean", "products")]
+    arrays = ["mean", "eigenvalues", "loadings", *(["center", "scale"] if standardise else [])]
+    schema = ", ".join([*typed(state, carried), "n bigint", "k int", *(f"{a} array<double>" for a in arrays)])
+
+    def decompose(n: int, mean: np.ndarray, products: np.ndarray) -> dict:
+        cov = square(products, len(mean)) / n
+        out = {}
+        if standardise:
+            # What rounding leaves of a constant counts as no deviation.
+            deviation = np.sqrt(np.diag(cov))
+            deviation = np.where(deviation <= 1e-14 * np.abs(mean), 1.0, deviation)
+            out = {"center": mean, "scale": deviation}
+            cov, mean = cov / np.outer(deviation, deviation), np.zeros(len(mean))
         values, axes = np.linalg.eigh(cov)
         values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1].T
         total = values.sum()
@@ -63,10 +77,15 @@ def fit_pca(
         if count:
             top = np.abs(axes).argmax(axis=1)
             axes = axes * np.sign(axes[np.arange(count), top])[:, None]
-        row = dict(zip(keys, key), n=int(n), k=count, mean=mean, eigenvalues=values, loadings=axes.ravel())
-        return pd.DataFrame([row])
+        return {"n": n, "k": count, "mean": mean, "eigenvalues": values, "loadings": axes.ravel(), **out}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [decompose(int(n), np.asarray(m, float), np.asarray(p, float)) for n, m, p in zip(batch["n"], batch["mean"], batch["products"])]
+            if rows:
+                yield pd.concat([batch[carried].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
-    return gram(vectors, keys).groupBy(*keys).applyInPandas(decompose, schema)
+    return state.select(*carried, "n", "mean", "products").mapInPandas(run, schema)
 
 
 def num_components(model: DataFrame, target: float, plus: int = 1, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
@@ -125,7 +144,7 @@ def score_vectors(vectors: DataFrame, model: DataFrame, keys: Sequence[str] = ("
     keys = list(keys)
     place = [*keys, "chunk"]
     kept = [c for c in vectors.columns if c != "x"]
-    schema = ", ".join([*_type_of(vectors, kept), "scores array<double>", "residual array<double>"])
+    schema = ", ".join([*typed(vectors, kept), "scores array<double>", "residual array<double>"])
     models, size = store_measured(model.select(*keys, "k", "mean", "loadings"))
 
     if size <= spread.BROADCAST_BYTES:

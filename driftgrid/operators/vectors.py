@@ -1,18 +1,13 @@
-"""Vectors per time, and their second moments as a Spark aggregate."""
+"""Vectors per time, and their covariance."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.spread import lookup, store_measured
-
-# A task hands over its partial matrices when they reach this many cells.
-_PARTIAL_CELLS = 4_000_000
+from driftgrid.operators.moments import covariances, moments
 
 
 def to_vectors(grid: DataFrame, keys: Sequence[str] = ("slice_id",), value: str = "value") -> DataFrame:
@@ -30,104 +25,6 @@ def to_vectors(grid: DataFrame, keys: Sequence[str] = ("slice_id",), value: str
     )
 
 
-def centres(vectors: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
-    """Mean vector per key, (keys, _centre): tasks hand over one mean and count per key."""
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    head = [f"`{k}` {types[k]}" for k in keys]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, group in batch.groupby(keys, sort=False, dropna=False):
-                mean = np.stack(group["x"].to_numpy()).mean(axis=0)
-                yield pd.DataFrame([dict(zip(keys, key), n=len(group), mean=mean)])
-
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        mean, n = np.zeros(len(group["mean"].iloc[0])), 0
-        for part, rows in zip(group["mean"], group["n"]):
-            n += rows
-            mean = mean + (np.asarray(part) - mean) * (rows / n)
-        return pd.DataFrame([dict(zip(keys, key), _centre=mean)])
-
-    parts = vectors.select(*keys, "x").mapInPandas(partial, ", ".join([*head, "n bigint", "mean array<double>"]))
-    return parts.groupBy(*keys).applyInPandas(merge, ", ".join([*head, "_centre array<double>"]))
-
-
-def gram(vectors: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
-    """Sums of products of [1, x - c] per key, as rows (keys, i, j, s) with 0 <= i <= j; rows with i = -1 hold c.
-
-    c is the mean of the key as a first pass finds it, so that no digits cancel far from zero.  Every task adds
-    up its own rows first; what is shuffled is one small matrix per task and key, and that sum is
-    again partially aggregated.  Index 0 is the constant.
-    """
-    keys = list(keys)
-    middle, size = store_measured(centres(vectors, keys))
-    types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["i int", "j int", "s double"])
-
-    def rows(sums: dict) -> pd.DataFrame:
-        parts = []
-        for key, matrix in sums.items():
-            i, j = np.triu_indices(matrix.shape[0])
-            part = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": matrix[i, j]})
-            for name, item in zip(keys, key):
-                part[name] = item
-            parts.append(part)
-        return pd.concat(parts)[[*keys, "i", "j", "s"]]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        cells = 0
-        for batch in batches:
-            for key, group in batch.groupby(keys, sort=False, dropna=False):
-                x = np.stack(group["x"].to_numpy())
-                x = np.hstack([np.ones((len(x), 1)), x])
-                if key not in sums:
-                    sums[key] = np.zeros((x.shape[1], x.shape[1]))
-                    cells += x.shape[1] ** 2
-                sums[key] += x.T @ x
-            if cells > _PARTIAL_CELLS:
-                yield rows(sums)
-                sums, cells = {}, 0
-        if sums:
-            yield rows(sums)
-
-    shifted = lookup(vectors.select(*keys, "x"), (middle, size), keys)
-    partials = shifted.select(*keys, F.zip_with("x", "_centre", lambda x, c: x - c).alias("x")).mapInPandas(partial, schema)
-    sums = partials.groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
-    shift = middle.select(*keys, F.posexplode("_centre").alias("_at", "s"))
-    return sums.unionByName(shift.select(*keys, F.lit(-1).alias("i"), (F.col("_at") + 1).alias("j"), "s"))
-
-
-def matrix_of(group: pd.DataFrame) -> np.ndarray:
-    """The symmetric matrix of one key's rows of ``gram``, around the centre."""
-    group = group[group["i"] >= 0]
-    size = int(group["j"].max()) + 1
-    out = np.zeros((size, size))
-    i, j, s = (group[c].to_numpy() for c in ("i", "j", "s"))
-    out[i, j] = s
-    out[j, i] = s
-    return out
-
-
-def centre_of(group: pd.DataFrame) -> np.ndarray:
-    """The centre of one key's rows of ``gram``."""
-    return group[group["i"] < 0].sort_values("j")["s"].to_numpy()
-
-
 def covariance(vectors: DataFrame, keys: Sequence[str] = ("slice_id",)) -> DataFrame:
-    """Population covariance of each pair of positions i <= j (from 0), from the sums of products."""
-    keys = list(keys)
-    sums = gram(vectors, keys)
-    n = sums.filter("i = 0 and j = 0").select(*keys, F.col("s").alias("_n"))
-    first = sums.filter("i = 0 and j > 0")
-    left = first.select(*keys, F.col("j").alias("i"), F.col("s").alias("_si"))
-    right = first.select(*keys, "j", F.col("s").alias("_sj"))
-    return (
-        sums.filter("i > 0")
-        .join(n, keys).join(left, [*keys, "i"]).join(right, [*keys, "j"])
-        .select(
-            *keys, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"),
-            (F.col("s") / F.col("_n") - F.col("_si") * F.col("_sj") / (F.col("_n") * F.col("_n"))).alias("cov"),
-        )
-    )
+    """Population covariance of each pair of positions i <= j (from 0)."""
+    return covariances(moments(vectors, keys), keys)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.axis import CHUNK_ROWS, with_halo
+from driftgrid.operators.moments import moments, square
 from driftgrid.operators.pca import fit_pca, loss_mean, score_vectors
-from driftgrid.operators.vectors import centre_of, gram, matrix_of
 from driftgrid.spread import lookup
 
 
@@ -39,17 +41,18 @@ def fit_forecast(windows: DataFrame) -> DataFrame:
         "slice_id", F.concat("x", F.array("y")).alias("x")
     )
 
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sums = matrix_of(group)
-        mean = sums[0, 1:] / sums[0, 0]
-        cov = sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean)
+    def solve(n: int, mean: np.ndarray, products: np.ndarray) -> np.ndarray:
+        cov = square(products, len(mean)) / n
         slopes = np.linalg.pinv(cov[:-1, :-1], rcond=1e-12, hermitian=True) @ cov[:-1, -1]
-        mean = mean + centre_of(group)
-        coef = np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
-        return pd.DataFrame([{"slice_id": key[0], "coef": coef}])
+        return np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            coef = [solve(n, np.asarray(m, float), np.asarray(p, float)) for n, m, p in zip(b["n"], b["mean"], b["products"])]
+            yield b[["slice_id"]].assign(coef=pd.Series(coef, index=b.index, dtype=object))
 
     slice_type = windows.schema["slice_id"].dataType.simpleString()
-    return gram(joint).groupBy("slice_id").applyInPandas(solve, f"slice_id {slice_type}, coef array<double>")
+    return moments(joint).mapInPandas(run, f"slice_id {slice_type}, coef array<double>")
 
 
 def forecast_loss(windows: DataFrame, model: DataFrame, against: str = "window") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.operators import buckets, iforest, pca, scale, shape, split, thresholds, traces, wavelet, windows
+from driftgrid.operators import buckets, iforest, moments, networks, pca, scale, shape, split, thresholds, traces, wavelet, windows
 from driftgrid.operators.impute import impute
 from driftgrid.operators.quality import prune_one_sided
 from driftgrid.operators.vectors import to_vectors
@@ -67,16 +67,30 @@ def metric_pca(
     return pca.score_losses(vectors, model).select("slice_id", "split", "ts", "loss")
 
 
+def vector_moments(vectors: DataFrame, series: DataFrame) -> DataFrame:
+    """The state of vectors (``moments``) with the series of each slice, to be stored, merged and fitted."""
+    return moments.moments(vectors).join(series.withColumnRenamed("_series", "series"), "slice_id")
+
+
+def metric_moments(samples: DataFrame, times: Range, rows: int = 50, cutoff: Column | None = None) -> DataFrame:
+    """The state of the samples of a time range: what a fit needs of them, one row per slice."""
+    means = long_enough(samples, rows, cutoff)
+    return vector_moments(split.split_range(to_vectors(impute(means)), *times), shape.series_lists(means))
+
+
+def fit_from_moments(state: DataFrame, target: float = 0.8, plus: int = 1, k: int | None = None) -> DataFrame:
+    """One row per slice with its series, scaler and components, from a state alone; no sample is read again.
+
+    States of several ranges are merged first (``moments.merge_moments``), on the series that they share.
+    """
+    return pca.pca_of(state, k=k, target=target, plus=plus, standardise=True)
+
+
 def fit_metric_pca(
     samples: DataFrame, train: Range, target: float = 0.8, plus: int = 1, k: int | None = None, cutoff: Column | None = None
 ) -> DataFrame:
     """One row per slice with its series, scaler and components, all fitted on the train range."""
-    means = long_enough(samples, cutoff=cutoff)
-    rows = store(split.split_range(to_vectors(impute(means)), *train))
-    scaler = store(scale.fit_vectors(rows))
-    model = pca.fit_pca(scale.scale_vectors(rows, scaler), k=k, target=target, plus=plus)
-    series = shape.series_lists(means).withColumnRenamed("_series", "series")
-    return model.join(scaler, "slice_id").join(series, "slice_id")
+    return fit_from_moments(metric_moments(samples, train, cutoff=cutoff), target, plus, k)
 
 
 def score_metric_pca(samples: DataFrame, model: DataFrame, times: Range, rows: int = 1) -> DataFrame:
@@ -173,6 +187,24 @@ def window_reconstruction(samples: DataFrame, length: int = 50, ratio: float = 0
     return thresholds.sigma_threshold(store(loss))
 
 
+def _windows(samples: DataFrame, length: int, ratio: float) -> DataFrame:
+    """Stored windows of the first series of each slice, min-max scaled."""
+    return store(windows.sliding_windows(store(split.split_ratio(_minmax_first_series(samples), ratio)), length))
+
+
+def gated_forecast(samples: DataFrame, length: int = 50, ratio: float = 0.8, hidden: int = 8, against: str = "window", **options) -> DataFrame:
+    """The window forecast by a recurrent network per slice, trained on the train windows (``networks.train``)."""
+    found = _windows(samples, length, ratio)
+    model = networks.fit_gated_forecast(found, hidden, **options)
+    return thresholds.sigma_threshold(store(networks.gated_forecast_loss(found, model, hidden, against)))
+
+
+def stacked_reconstruction(samples: DataFrame, length: int = 50, ratio: float = 0.8, **options) -> DataFrame:
+    """The window reconstruction by a stacked encoder per slice, trained until its held-out loss stops falling."""
+    found = _windows(samples, length, ratio)
+    return thresholds.sigma_threshold(store(networks.stacked_encoder_loss(found, networks.fit_stacked_encoder(found, **options))))
+
+
 def wavelet_forecast(
     samples: DataFrame, train: Range, test: Range, length: int = 50, name: str = "db4", against: str = "window"
 ) -> DataFrame:

@@ -2,15 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgrid.functions.arrays import join_flags, split_flags
 from driftgrid.functions.times import iso_text, parse_ts
 
 
-def write_anomaly_log(log: DataFrame, path: str) -> None:
-    """Append logged intervals with their four columns: ISO times, type, comma-joined flags."""
+MANIFEST = "run string, attempt string, written timestamp"
+
+
+def write_run(df: DataFrame, path: str, run: str) -> None:
+    """Write the rows of one run to a table made of runs; a run that is written again takes the place of its earlier rows.
+
+    Every attempt has a folder of its own, and counts from the moment its line is in the manifest.  An attempt that
+    failed, or is still being written, is never read; neither is one that a later attempt of its run replaced.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{attempt}")
+    line = spark.range(1).select(F.lit(str(run)).alias("run"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("written"))
+    line.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run, attempt, written): the attempt of each run that counts."""
+    lines = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    return lines.groupBy("run").agg(F.max(F.struct("written", "attempt")).alias("_last")).select("run", "_last.attempt", "_last.written")
+
+
+def read_runs(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
+    """The rows of all runs, or of the named ones, each run once; the column ``run`` says which."""
+    found = runs(spark, path).collect()  # one line per run
+    known = {r["attempt"]: r["run"] for r in found if names is None or r["run"] in set(names)}
+    if not known:
+        return spark.read.parquet(*(f"{path}/data/{r['attempt']}" for r in found)).limit(0).withColumn("run", F.lit(None).cast("string"))
+    rows = spark.read.parquet(*(f"{path}/data/{a}" for a in sorted(known)))
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    names_of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return rows.withColumn("run", names_of[folder])
+
+
+def write_anomaly_log(log: DataFrame, path: str, run: str | None = None) -> None:
+    """Append logged intervals with their four columns: ISO times, type, comma-joined flags.
+
+    With the name of a ``run`` they go to a table of runs (``read_runs``), where a repeated write does not double them.
+    """
+    if run is not None:
+        write_run(log.select("start_ts", "end_ts", "anomaly_type", "flags"), path, run)
+        return
     log.select(
         iso_text(F.col("start_ts")).alias("Start Time (UTC)"),
         iso_text(F.col("end_ts")).alias("End Time (UTC)"),
@@ -33,12 +75,16 @@ def read_anomaly_log(spark, path: str) -> DataFrame:
     )
 
 
-def write_loss(loss: DataFrame, path: str, mode: str = "append") -> None:
+def write_loss(loss: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
     """Losses by a bucket of the slice, with the slice as a column.
 
     Slice texts may be long and many, so a folder stands for a bucket of their hash: 256 at most.  Spark
-    evens out what the writing tasks get, so a busy slice is written by many of them.
+    evens out what the writing tasks get, so a busy slice is written by many of them.  With the name of a
+    ``run`` they go to a table of runs (``read_runs``), where a repeated write does not double them.
     """
+    if run is not None:
+        write_run(loss, path, run)
+        return
     bucket = F.concat(F.lit("b"), F.substring(F.md5(F.col("slice_id").cast("string")), 1, 2))
     loss.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(path)
 
