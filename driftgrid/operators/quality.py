@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.operators.clean import numeric_columns
-from driftgrid.spread import lookup
+from driftgrid.session import store
+from driftgrid.spread import lookup, store_measured
 
-# Rank error of the first quantile pass, as a share of the rows.
-RANK_ERROR = 1e-5
-# Groups up to this size skip the first pass.
+# Groups up to this size are ranked in one task.
 SMALL_GROUP = 200_000
+# Cells that the range of a larger group is cut into at once.
+CELLS = 1024
 
 
 def profile_distinct(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -42,61 +43,79 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    small_group: int = SMALL_GROUP,
+    small_group: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as rows (keys, prob, quantile).
 
-    The approximate sketch narrows each quantile down to a small share of the rows; only the
-    distinct values inside that range are ranked, the rest are counted.  A group up to
-    ``small_group`` rows is ranked whole.  No task sorts a large group, and a value repeated
-    in many rows is counted before it is shuffled.
+    A group up to ``small_group`` rows is ranked whole.  In a larger one the rank is looked for by counting: its range of
+    values is cut into equal cells, the cell that holds the rank is cut again, until it holds a single value.  What is shuffled
+    are counts of cells, and no task sorts or holds the values of a large group.
     """
+    small_group = SMALL_GROUP if small_group is None else small_group
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    lo = [max(p - 4 * RANK_ERROR, 0.0) for p in probs]
-    hi = [min(p + 4 * RANK_ERROR, 1.0) for p in probs]
-    sketch = F.percentile_approx("_v", [*lo, *hi], int(1 / RANK_ERROR))
-    n = len(probs)
-    bounds = known.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_bounds"))
-    ranges = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.col("_bounds")[i].alias("_lo"),
-                F.col("_bounds")[n + i].alias("_hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    bounds = bounds.select(*keys, "_n", F.inline(ranges))
-    if keys:
-        wide = bounds.groupBy(*keys, "_n").agg(F.collect_list(F.struct("prob", "_lo", "_hi")).alias("_ranges"))
-        joined = lookup(known, wide, keys)
-    else:
-        wide = bounds.groupBy("_n").agg(F.collect_list(F.struct("prob", "_lo", "_hi")).alias("_ranges"))
-        joined = lookup(known.withColumn("_one", F.lit(1)), wide.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    ranked = joined.select(*keys, "_n", "_v", F.inline("_ranges"))
-    whole = F.col("_n") <= small_group
-    inside = whole | (F.col("_v") >= F.col("_lo"))
-    counts = (
-        ranked.filter(whole | (F.col("_v") <= F.col("_hi")))
-        .groupBy(*keys, "prob", "_n", F.when(inside, F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_count"))
-    )
-    upto = Window.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
-    place = (F.col("_n") - 1) * F.col("prob")
-    low_rank, high_rank = F.floor(place), F.ceil(place)
-    picked = (
-        counts.withColumn("_last", F.sum("_count").over(upto))
-        .withColumn("_first", F.col("_last") - F.col("_count"))
-        .filter((F.col("_first") <= high_rank) & (F.col("_last") > low_rank))
-        .groupBy(*keys, "prob", "_n")
-        .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    )
-    share = place - F.floor(place)
-    return picked.select(
-        *keys, "prob", (F.col("_low") + share * (F.col("_high") - F.col("_low"))).alias("quantile")
-    )
+    inner = keys or ["_one"]
+    known = known if keys else known.withColumn("_one", F.lit(1))
+    sizes = store_measured(known.groupBy(*inner).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    large = sizes[0].filter(F.col("_n") > small_group)
+    some = bool(large.limit(1).count())
+    sized = lookup(known, sizes, inner)
+    found = _ranked(sized.filter(F.col("_n") <= small_group), probs, inner)
+    if some:
+        found = found.unionByName(_counted(store(sized.filter(F.col("_n") > small_group)).select(*inner, "_v"), large, probs, inner))
+    share = (F.col("_n") - 1) * F.col("prob") - F.floor((F.col("_n") - 1) * F.col("prob"))
+    return found.select(*keys, "prob", (F.col("_low") + share * (F.col("_high") - F.col("_low"))).alias("quantile"))
+
+
+def _places(probs: Sequence[float]) -> Column:
+    """Per quantile the ranks (from 0) that it lies between."""
+    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    return F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.floor(place(p)).alias("_first"), F.ceil(place(p)).alias("_second")) for p in probs])
+
+
+def _ranked(rows: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """(keys, prob, _n, _low, _high) of groups small enough for one task; equal values are counted first."""
+    counts = rows.groupBy(*keys, "_n", "_v").agg(F.count("*").alias("_count"))
+    upto = Window.partitionBy(*keys).orderBy("_v")
+    placed = counts.withColumn("_last", F.sum("_count").over(upto)).withColumn("_from", F.col("_last") - F.col("_count"))
+    picked = placed.select("*", F.inline(_places(probs))).filter((F.col("_from") <= F.col("_second")) & (F.col("_last") > F.col("_first")))
+    return picked.groupBy(*keys, "prob", "_n").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+
+
+def scale_of(v: Column, logarithmic: bool) -> Column:
+    """A scale that keeps the order of values: half the value, which does not overflow, or its logarithm with its sign.
+
+    Taken in turn, cells of equal width part both values of one magnitude and values of very unequal ones in a few steps.
+    """
+    if not logarithmic:
+        return v / 2
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + 800))
+
+
+def _counted(rows: DataFrame, sizes: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """The same for stored rows (keys, _v) of large groups, by counting the rows of cells."""
+    ranks = F.array_distinct(F.flatten(F.transform(_places(probs), lambda p: F.array(p["_first"], p["_second"]))))
+    target = ["_rank"]
+    wanted = store(sizes.select(*keys, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.explode(ranks).alias("_rank")))
+    logarithmic = False
+    while wanted.filter("_lo < _hi").limit(1).count():
+        open_ = wanted.filter("_lo < _hi").groupBy(*keys).agg(F.collect_list(F.struct("_rank", "_lo", "_hi", "_below")).alias("_open"))
+        low, high, at = (scale_of(F.col(c), logarithmic) for c in ("_lo", "_hi", "_v"))
+        cell = F.floor((at - low) / (high - low) * CELLS)
+        # The ends have cells of their own, so that every step takes something off, infinite values and not-a-numbers too.
+        cell = F.greatest(F.least(F.coalesce(cell, F.lit(1)), F.lit(CELLS - 2)), F.lit(1))
+        cell = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), CELLS - 1).otherwise(cell)
+        inside = lookup(rows, open_, list(keys)).select(*keys, "_v", F.inline("_open")).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        cells = inside.groupBy(*keys, *target, "_below", cell.alias("_cell")).agg(F.count("*").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = Window.partitionBy(*keys, *target).orderBy("_cell")  # at most CELLS rows
+        last = F.col("_below") + F.sum("_count").over(upto)
+        held = cells.withColumn("_last", last).withColumn("_below", F.col("_last") - F.col("_count"))
+        held = held.filter((F.col("_below") <= F.col("_rank")) & (F.col("_last") > F.col("_rank"))).select(wanted.columns)
+        wanted, logarithmic = store(held.union(wanted.filter("_lo = _hi"))), not logarithmic
+    at = sizes.select(*keys, "_n", F.inline(_places(probs)))
+    one = wanted.select(*keys, F.col("_rank").alias("_first"), F.col("_lo").alias("_low"))
+    two = wanted.select(*keys, F.col("_rank").alias("_second"), F.col("_lo").alias("_high"))
+    return at.join(one, [*keys, "_first"]).join(two, [*keys, "_second"]).select(*keys, "prob", "_n", "_low", "_high")
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftgrid import spread
 from driftgrid.axis import CHUNK_ROWS, time_axis
 from driftgrid.functions.attrs import join_key, slice_key
 from driftgrid.session import store
@@ -62,8 +63,27 @@ def series_dictionary(
         rank = [F.col("_seen").asc(), *[F.col(c).asc_nulls_first() for c in cols]]
     else:
         raise ValueError(f"unknown order {order!r}")
-    number = F.row_number().over(Window.partitionBy("slice_id").orderBy(*rank)) - 1
-    return tuples.withColumn("series_id", number).select("slice_id", "series_id", *cols)
+    tuples, size = store_measured(tuples)
+    if size <= spread.BROADCAST_BYTES:
+        number = F.row_number().over(Window.partitionBy("slice_id").orderBy(*rank)) - 1
+        return tuples.withColumn("series_id", number).select("slice_id", "series_id", *cols)
+    return numbered(tuples, rank).select("slice_id", "series_id", *cols)
+
+
+def numbered(tuples: DataFrame, rank: Sequence[Column]) -> DataFrame:
+    """``tuples`` with ``series_id``, their place from 0 in their slice by ``rank``, however many a slice has.
+
+    The rows are sorted over all tasks by ranges; a row's place is its place in its range and slice plus the rows of the slice in
+    the ranges before.  Only these counts, one per range and slice, pass through a window.
+    """
+    placed = tuples.repartitionByRange(F.col("slice_id").asc(), *rank).sortWithinPartitions(F.col("slice_id").asc(), *rank)
+    placed = store(placed.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")))
+    counts = placed.groupBy("slice_id", "_range").agg(F.count("*").alias("_rows"), F.min("_at").alias("_start"))
+    before = Window.partitionBy("slice_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("slice_id", "_range", "_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    joined = lookup(placed, offsets, ["slice_id", "_range"])
+    number = (F.col("_before") + F.col("_at") - F.col("_start")).cast("int")
+    return joined.withColumn("series_id", number).drop("_range", "_at", "_start", "_before")
 
 
 def assign_series(

@@ -88,6 +88,34 @@ def span_chains(
     return own.unionByName(known)
 
 
+def span_roots(spans: DataFrame, order: Sequence[str] = (), rows_per_task: int | None = None) -> DataFrame:
+    """(span_id, root_id, depth), one row per span: the last ancestor of each span and the hops to it.
+
+    Every span points to its parent; each round it points to where its pointer pointed to, so hops double and a
+    chain of a million spans takes twenty rounds, of as many rows as there are spans.  A span that has arrived at a root
+    is not moved again; a root that many spans wait for is spread over several tasks.  Chains that run into a cycle have
+    no root: root and depth are null.
+    """
+    edges = span_edges(spans, order)
+    ids = spans.select("span_id").filter("span_id is not null").distinct()
+    count_ = ids.count()
+    start = ids.join(edges, "span_id", "left").select(
+        "span_id", F.coalesce("parent_span_id", "span_id").alias("at"), F.col("parent_span_id").isNotNull().cast("long").alias("depth"),
+        F.col("parent_span_id").isNull().alias("done"),
+    )
+    known, hops = store(start), 1
+    while hops < 2 * count_:
+        waiting = known.filter("not done")
+        if not waiting.limit(1).count():
+            break
+        ahead = known.select(F.col("span_id").alias("at"), F.col("at").alias("_next"), F.col("depth").alias("_more"), F.col("done").alias("_done"))
+        moved = salted_join(waiting.drop("done"), ahead, ["at"], rows_per_task=rows_per_task, at_most=count_).select(
+            "span_id", F.col("_next").alias("at"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_done").alias("done")
+        )
+        known, hops = store(moved.union(known.filter("done"))), 2 * hops
+    return known.select("span_id", F.when(F.col("done"), F.col("at")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
 def chain_rows(spans: DataFrame, chains: DataFrame) -> DataFrame:
     """The span rows the chains run through, without duplicates."""
     used = chains.select(F.col("ancestor_id").alias("span_id")).distinct()

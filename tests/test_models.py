@@ -213,6 +213,28 @@ def test_wavelet_smooth(spark):
     np.testing.assert_allclose(got[got["slice_id"] == "flat"]["value"], 3.0, atol=1e-9)
 
 
+@pytest.mark.parametrize("block,levels", [(16, 2), (64, 1), (64, 3)])
+def test_wavelet_smooth_in_blocks(spark, block, levels):
+    """Series of many blocks, cut twice on the way down, with borders at every level."""
+    rng = np.random.default_rng(4)
+    slices = {"long": rng.normal(size=1501), "short": rng.normal(size=40), "odd": rng.normal(size=block * 5 + 1)}
+    got = wavelet.wavelet_smooth(window_input(spark, slices, ratio=0.8), block=block, levels=levels).toPandas()
+    taps = wavelet.LOW_PASS["db4"]
+    for name, x in slices.items():
+        cut = int(len(x) * 0.8)
+        for split, part in {"train": x[:cut], "test": x[cut:]}.items():
+            mine = got[(got["slice_id"] == name) & (got["split"] == split)].sort_values("pos")["value"].to_numpy()
+            np.testing.assert_allclose(mine, direct_smooth(part, taps), atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [5, 7, 13, 14, 15, 28, 57, 101, 333])
+def test_smoothing_of_arrays_at_every_border(n):
+    x = np.random.default_rng(n).normal(size=n)
+    levels = int(np.floor(np.log2(n / 7))) if n >= 7 else 0
+    taps = np.array(wavelet.LOW_PASS["db4"])
+    np.testing.assert_allclose(wavelet.smoothed(x, levels, taps), direct_smooth(x, taps), atol=1e-10)
+
+
 def test_low_pass_taps_are_orthonormal():
     h = np.array(wavelet.LOW_PASS["db4"])
     assert h.sum() == pytest.approx(np.sqrt(2))

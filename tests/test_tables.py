@@ -159,12 +159,36 @@ def test_exact_quantiles(spark, n, small_group):
     assert len(got) == 12
 
 
-def test_exact_quantiles_narrow_range(spark, monkeypatch):
-    monkeypatch.setattr(quality, "RANK_ERROR", 0.01)
-    x = np.random.default_rng(0).exponential(size=20_000)
-    df = spark.createDataFrame(pd.DataFrame({"v": x}))
-    for r in quality.exact_quantiles(df, "v", [0.1, 0.5, 0.99], small_group=0).collect():
-        assert r["quantile"] == pytest.approx(np.quantile(x, r["prob"]), abs=1e-12)
+@pytest.mark.parametrize("cells", [64, 1024])
+def test_exact_quantiles_by_counting(spark, monkeypatch, cells):
+    """Groups that are never ranked: spread out, all equal, of very unequal scale, and with infinite ends."""
+    monkeypatch.setattr(quality, "CELLS", cells)
+    draw = np.random.default_rng(0)
+    named = {
+        "even": draw.exponential(size=20_000), "equal": np.full(5000, 3.25), "two": np.repeat([1.0, 2.0], 3000),
+        "scales": np.concatenate([10.0 ** draw.uniform(-200, 200, 300), -(10.0 ** draw.uniform(-200, 200, 300))]),
+        "wide": np.array([-1.7e308, 0.0, 1.7e308] * 40), "ends": np.concatenate([[-np.inf, np.inf], draw.normal(size=500)]),
+    }
+    df = spark.createDataFrame(pd.DataFrame([(k, v) for k, x in named.items() for v in x], columns=["g", "v"]))
+    probs = [0.1, 0.5, 0.75, 0.99]
+    got = {(r["g"], r["prob"]): r["quantile"] for r in quality.exact_quantiles(df, "v", probs, ["g"], small_group=0).collect()}
+    assert len(got) == len(named) * len(probs)
+    for (g, p), q in got.items():
+        x = np.sort(named[g])
+        at = (len(x) - 1) * p
+        low, high = x[int(np.floor(at))], x[int(np.ceil(at))]
+        with np.errstate(over="ignore"):
+            assert q == pytest.approx(low + (at - np.floor(at)) * (high - low), rel=1e-12), (g, p)
+    whole = quality.exact_quantiles(df.filter("g = 'even'"), "v", probs, small_group=0).collect()
+    assert {r["prob"]: r["quantile"] for r in whole} == pytest.approx({p: np.quantile(named["even"], p) for p in probs})
+
+
+def test_large_groups_are_counted_without_a_window_over_their_values(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SMALL_GROUP", 50_000)
+    df = spark.range(2_000_000).select((F.col("id") % 1_000_003).cast("double").alias("v"))
+    got = {r["prob"]: r["quantile"] for r in quality.exact_quantiles(df, "v", [0.25, 0.9]).collect()}
+    x = np.sort(np.arange(2_000_000) % 1_000_003)
+    assert got == pytest.approx({0.25: np.quantile(x, 0.25), 0.9: np.quantile(x, 0.9)})
 
 
 def test_split_ratio_follows_integer_part(spark):
@@ -340,3 +364,117 @@ def test_last_rows_go_whatever_the_scan(spark, tmp_path):
         assert rows.count() == 2000
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set("spark.sql.files.minPartitionNum", old)
+
+
+# --- roots --------------------------------------------------------------------------------
+
+def plain_roots(rows):
+    """Follow every chain by hand; a chain that comes back to itself has no root."""
+    parent = {}
+    for span, up in rows:
+        parent.setdefault(span, up)
+    out = {}
+    for span in parent:
+        at, seen = span, [span]
+        while parent[at] is not None and parent[at] in parent:
+            at = parent[at]
+            if at in seen:
+                at = None
+                break
+            seen.append(at)
+        out[span] = (at, len(seen) - 1 if at is not None else None)
+    return out
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, None), (2, 1), (3, 2), (4, 99), (5, 4)],
+    [(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, None)],
+    [(0, None)] + [(i, i - 1) for i in range(1, 200)],
+    [(0, None)] + [(i, 0) for i in range(1, 300)] + [(1000 + i, 1 + i % 7) for i in range(300)],
+])
+def test_span_roots(spark, rows, no_broadcast):
+    df = spark.createDataFrame(rows, "span_id bigint, parent_span_id bigint")
+    got = {r["span_id"]: (r["root_id"], r["depth"]) for r in traces.span_roots(df, rows_per_task=50).collect()}
+    assert got == plain_roots(rows)
+
+
+def test_span_roots_of_a_long_chain(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("span_id"), F.when(F.col("id") % 500_000 > 0, F.col("id") - 1).alias("parent_span_id"))
+    got = traces.span_roots(df)
+    worst = got.agg(F.max(F.abs(F.col("span_id") - F.col("root_id") - F.col("depth"))).alias("a"), F.max("depth").alias("d"), F.count_distinct("root_id").alias("n"), F.count("root_id").alias("all")).first()
+    assert (worst["a"], worst["d"], worst["n"], worst["all"]) == (0, 499_999, 2, 1_000_000)
+
+
+def test_span_roots_of_nothing(spark):
+    assert traces.span_roots(spark.createDataFrame([], "span_id bigint, parent_span_id bigint")).count() == 0
+
+
+# --- numbering ----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("order", ["sorted", "first_seen"])
+def test_numbering_over_ranges_equals_numbering_in_a_window(spark, monkeypatch, order):
+    from driftgrid import spread
+
+    rows = [("a" if i % 3 else "b", f"p{i * 37 % 101}" if i % 11 else None, i * 13 % 7, START + dt.timedelta(minutes=i * 29 % 500)) for i in range(600)]
+    df = spark.createDataFrame(rows, "slice_id string, p string, q int, ts timestamp_ntz").repartition(7)
+    keys = lambda d: {(r["slice_id"], r["p"], r["q"]): r["series_id"] for r in d.collect()}
+    want = keys(shape.series_dictionary(df, ["p", "q"], order))
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
+    assert keys(shape.series_dictionary(df, ["p", "q"], order)) == want
+    assert sorted(v for (s, *_), v in want.items() if s == "a") == list(range(sum(s == "a" for s, *_ in want)))
+
+
+# --- alarms as events ---------------------------------------------------------------------
+
+def plain_runs(times, gap):
+    out = []
+    for t in sorted(times):
+        if out and t - out[-1][1] <= gap:
+            out[-1][1] = t
+            out[-1][2] += 1
+        else:
+            out.append([t, t, 1])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("bin_,gap", [("minute", 1), ("hour", 7), ("day", 60)])
+def test_alarms_cross_the_borders_of_bins(spark, bin_, gap):
+    draw = np.random.default_rng(gap)
+    times = {d: sorted({START + dt.timedelta(minutes=int(m)) for m in draw.integers(0, 4000, n)}) for d, n in (("x", 900), ("y", 60))}
+    rows = [(d, t, True) for d, ts in times.items() for t in ts] + [("x", START + dt.timedelta(minutes=4500), False), ("x", None, True)]
+    df = spark.createDataFrame(rows, "detector string, ts timestamp_ntz, flagged boolean")
+    if bin_ == "minute":  # a gap of a minute, bins of a minute
+        df = df.filter("detector = 'y'")
+    got = sorted((r["detector"], r["start_ts"], r["end_ts"], r["n"]) for r in labels.alarms(df, f"{gap} minutes", bin_=bin_).collect())
+    want = sorted((d, *run) for d, ts in times.items() if bin_ != "minute" or d == "y" for run in plain_runs(ts, dt.timedelta(minutes=gap)))
+    assert got == want
+
+
+def test_overlaps_of_all_lengths(spark):
+    draw = np.random.default_rng(1)
+
+    def intervals(n, seed):
+        starts = draw.integers(0, 10**6, n)
+        sizes = (10 ** draw.uniform(0, 6, n)).astype(int) * draw.integers(0, 2, n)
+        return [(int(i), START + dt.timedelta(seconds=int(s)), START + dt.timedelta(seconds=int(s + d))) for i, (s, d) in enumerate(zip(starts, sizes))]
+
+    one, two = intervals(120, 1), intervals(150, 2) + [(999, START + dt.timedelta(seconds=50), START)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = sorted((r["id"], r["b_id"]) for r in labels.overlaps(frame(one), frame(two)).collect())
+    want = sorted((i, j) for i, s, e in one for j, a, b in two if a <= b and s <= b and a <= e)
+    assert got == want and len(want) > 500
+    assert labels.overlaps(frame(one[:0]), frame(two)).count() == 0
+
+
+def test_found_intervals_and_judged_alarms(spark):
+    at = lambda m: START + dt.timedelta(minutes=m)
+    log = spark.createDataFrame([(at(10), at(20), "point"), (at(100), at(130), "s_long"), (at(300), at(301), "point")], "start_ts timestamp_ntz, end_ts timestamp_ntz, anomaly_type string")
+    found = spark.createDataFrame([("x", at(5), at(12), 3), ("x", at(110), at(111), 2), ("x", at(120), at(121), 2), ("x", at(200), at(210), 4), ("y", at(20), at(20), 1)],
+                                  "detector string, start_ts timestamp_ntz, end_ts timestamp_ntz, n bigint")
+    got = {(r["detector"], r["start_ts"]): (r["found"], r["alarms"], r["delay_seconds"]) for r in labels.found_intervals(found, log, ["x", "y"]).collect()}
+    assert got == {
+        ("x", at(10)): (True, 1, 0.0), ("x", at(100)): (True, 2, 600.0), ("x", at(300)): (False, 0, None),
+        ("y", at(10)): (True, 1, 600.0), ("y", at(100)): (False, 0, None), ("y", at(300)): (False, 0, None),
+    }
+    judged = {(r["detector"], r["start_ts"]): r["is_true"] for r in labels.judged_alarms(found, log).collect()}
+    assert judged == {("x", at(5)): True, ("x", at(110)): True, ("x", at(120)): True, ("x", at(200)): False, ("y", at(20)): True}
