@@ -350,7 +350,7 @@ def _hist_ranges():
 )
 def histogram_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One component per slice and bucket; mean squared error of each time over series and buckets."""
-    loss, _ = analyses.histogram_pca(fx.histogram(spark, sf_dir), *_hist_ranges(), k=1)
+    loss, _ = analyses.histogram_pca(fx.histogram(spark, sf_dir), *_hist_ranges(), k=1, by_bounds=False)
     return loss.withColumn("loss", r("loss", 4))
 
 
@@ -359,7 +359,7 @@ def histogram_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_sql(*_HIST, closed_form("tall", "slice_id, bucket")) + "select slice_id, split, round(sum(p * p) / (count(*) * 2), 4) as mse from scored group by 1, 2",
 )
 def histogram_overall_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, overall = analyses.histogram_pca(fx.histogram(spark, sf_dir), *_hist_ranges(), k=1)
+    _, overall = analyses.histogram_pca(fx.histogram(spark, sf_dir), *_hist_ranges(), k=1, by_bounds=False)
     return overall.withColumn("mse", r("mse", 4))
 
 
@@ -369,7 +369,7 @@ def histogram_overall_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def histogram_full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At full rank every bucket is rebuilt exactly."""
-    _, overall = analyses.histogram_pca(fx.histogram(spark, sf_dir), *_hist_ranges())
+    _, overall = analyses.histogram_pca(fx.histogram(spark, sf_dir), *_hist_ranges(), by_bounds=False)
     return overall.withColumn("mse", r("mse"))
 
 

@@ -218,9 +218,15 @@ def wavelet_forecast(
 
 
 def histogram_pca(
-    samples: DataFrame, train: Range, test: Range, k: int | None = None
+    samples: DataFrame, train: Range, test: Range, k: int | None = None, by_bounds: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Loss per time and overall error per split, from one model per slice and bucket."""
+    """Loss per time and overall error per split, from one model per slice and bucket.
+
+    Buckets of different bounds are not comparable: with a column ``explicit_bounds`` a slice with several of them is
+    taken apart first, unless ``by_bounds`` is off.
+    """
+    if by_bounds and "explicit_bounds" in samples.columns:
+        samples = store(shape.split_by_bounds(samples))
     matrices = store(buckets.bucket_matrices(buckets.bucket_grid(samples)))
     tagged = split.drop_empty(split.tag_ranges(matrices, train, test, closed="both"))
     vectors = store(buckets.bucket_vectors(tagged))

@@ -26,6 +26,14 @@ HISTOGRAM = _RESOURCE + (
     "TimeUnix1 string, Value string, SpanId string, TraceId string, Flags string, Min string, Max string"
 )
 
+#: Flat trace export; event and link columns have dotted names.
+TRACES_FLAT = (
+    "Timestamp string, TraceId string, SpanId string, ParentSpanId string, TraceState string, SpanName string, SpanKind string, "
+    "ServiceName string, ResourceAttributes string, ScopeName string, ScopeVersion string, SpanAttributes string, Duration string, "
+    "StatusCode string, StatusMessage string, `Events.Timestamp` string, `Events.Name` string, `Events.Attributes` string, "
+    "`Links.TraceId` string, `Links.SpanId` string, `Links.TraceState` string, `Links.Attributes` string"
+)
+
 TRACES = (
     "ts timestamp_ntz, trace_id bigint, span_id bigint, parent_span_id bigint, trace_state string, "
     "span_name string, span_kind string, service string, resource_attributes string, scope_name string, "
