@@ -10,7 +10,7 @@ from checks.fixtures import moment, r, recursive_sql, table, with_sql
 from checks.models import _DETECTORS, TRAIN_SCALED, _TRAIN_TEST, _losses, ranges
 from checks.registry import check
 from checks.spectrum import residual_sql
-from driftgrid.operators import moments, shape, split
+from driftgrid.operators import moments, shape, split, subspace
 from driftgrid.operators.impute import impute
 from driftgrid.operators.vectors import to_vectors
 from driftgrid.plans import analyses
@@ -66,6 +66,20 @@ def pca_from_two_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("loss", r("loss"))
 
 
+@check(
+    "pca_by_subspace",
+    recursive_sql(*fx.TO_SCALED, _TRAIN_TEST, residual_sql("tagged", k=2))
+    + """select slice_id, cast(rank as int) as component, round(eigenvalue, 6) as eigenvalue, round(sum(eigenvalue) over (partition by slice_id), 6) as variance
+    from shares qualify rank <= 2""",
+)
+def pca_by_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two leading eigenvalues of every slice and its whole variance, by multiplying a block of three directions."""
+    rows = store(analyses.scaled_vectors(analyses.prepared_vectors(fx.gauge(spark, sf_dir)), *ranges()))
+    model = subspace.fit_wide_pca(rows.filter("split = 'train'"), k=2, extra=1)
+    rows = model.select("slice_id", "variance", F.posexplode("eigenvalues").alias("component", "eigenvalue"))
+    return rows.select("slice_id", (F.col("component") + 1).alias("component"), r("eigenvalue").alias("eigenvalue"), r("variance").alias("variance"))
+
+
 # --- streams ------------------------------------------------------------------------------
 
 #: Samples arrive in files of five days; one in 23 comes a file late, one in 29 three files.

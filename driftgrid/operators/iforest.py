@@ -11,7 +11,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.operators.split import integer_key
@@ -25,14 +26,14 @@ TREE_FACTOR = 7919
 NODE_FACTOR = 104729
 FRACTION_STEPS = 10007
 EULER_GAMMA = 0.5772156649
+# Rows that are tried against all trees at once.
+TRIED_ROWS = 8192
 
 
-def sample_rank(small: Column, tree: Column, seed: int) -> Column:
+def sample_rank(small: np.ndarray, tree: np.ndarray, seed: int) -> np.ndarray:
     """A pseudo-random order of the rows for one tree; ``small`` is a key below MODULUS."""
-    mixed = F.pmod(
-        small * (F.lit(ROW_FACTOR) + F.lit(TREE_FACTOR) * tree) + F.lit(NODE_FACTOR) * (tree + seed), F.lit(MODULUS)
-    )
-    return F.pmod(mixed * mixed + small, F.lit(MODULUS))
+    mixed = (small * (ROW_FACTOR + TREE_FACTOR * tree) + NODE_FACTOR * (tree + seed)) % MODULUS
+    return (mixed * mixed + small) % MODULUS
 
 
 def tree_samples(
@@ -40,20 +41,31 @@ def tree_samples(
 ) -> DataFrame:
     """The ``sample`` rows of lowest rank for every tree.
 
-    A row is tried against each tree in place and repeated only for the trees under whose rank limit it lies, about
-    four samples' worth per tree however large the table is.  The key is an integer or a text.  Should some tree end up short,
+    Rows are tried against all trees in place, a block of them at once, and repeated only for the trees under whose rank limit they
+    lie, about four samples' worth per tree however large the table is.  The key is an integer or a text.  Should some tree end up short,
     the limit is raised and the step repeated.
     """
     total = df.count()
     need = min(sample, total)
     share = min(1.0, 4.0 * sample / max(total, 1))
     keyed = df.select(F.col(key).alias("_key"), F.pmod(integer_key(df, key), F.lit(MODULUS)).alias("_small"), *features)
-    each = F.sequence(F.lit(0), F.lit(trees - 1))
-    ranks = F.transform(each, lambda t: F.struct(t.alias("tree"), sample_rank(F.col("_small"), t, seed).alias("_rank")))
+    names = ["_key", *features, "tree", "_rank"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "_small"] + ["tree int", "_rank bigint"])
     while True:
         below = MODULUS if share >= 1.0 else int(MODULUS * share)
-        near = keyed.withColumn("_at", F.explode(F.filter(ranks, lambda r: r["_rank"] < below)))
-        near = store(near.select("_key", *features, "_at.tree", "_at._rank"))
+
+        def tried(batches: Iterator[pa.RecordBatch], below: int = below) -> Iterator[pa.RecordBatch]:
+            each = np.arange(trees)
+            for batch in batches:
+                for i in range(0, len(batch), TRIED_ROWS):
+                    rows = batch.slice(i, TRIED_ROWS)
+                    rank = sample_rank(rows.column("_small").to_numpy()[:, None], each[None, :], seed)
+                    at, tree = np.nonzero(rank < below)
+                    kept = rows.take(pa.array(at))
+                    columns = [kept.column(c) for c in names[:-2]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(tree.astype(np.int32)), pa.array(rank[at, tree])], names=names)
+
+        near = store(keyed.mapInArrow(tried, schema))
         counts = near.groupBy("tree").agg(F.count("*").alias("n")).agg(
             F.count("*").alias("trees"), F.min("n").alias("least")
         ).first()

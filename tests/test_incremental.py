@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.operators import moments, pca, shape, vectors
+from driftgrid.operators import moments, pca, shape, subspace, vectors
 from driftgrid.operators.impute import impute
 from driftgrid.plans import analyses
 from driftgrid.session import fresh_path, store
@@ -205,3 +205,33 @@ def test_moments_of_one_range_fit_like_the_samples_themselves(spark):
     two = analyses.fit_from_moments(moments.merge_moments(parts), k=2).first()
     for c in ("eigenvalues", "loadings", "center", "scale"):
         np.testing.assert_allclose(one[c], two[c], atol=1e-9)
+
+
+# --- wide slices --------------------------------------------------------------------------
+
+def test_leading_components_of_wide_slices(spark, monkeypatch):
+    """200 series with a falling spectrum, far from zero, against the exact decomposition."""
+    draw = np.random.default_rng(11)
+    spectrum = 0.5 ** np.arange(200) + 1e-3
+    named = {name: draw.normal(size=(n, 200)) * np.sqrt(spectrum) @ np.linalg.qr(draw.normal(size=(200, 200)))[0] + 1e4 for name, n in (("a", 600), ("b", 400))}
+    rows = store(rows_of(spark, named, 6))
+    model = {r["slice_id"]: r for r in subspace.fit_wide_pca(rows, k=5).collect()}
+    for name, m in named.items():
+        values, axes = np.linalg.eigh(np.cov(m.T, bias=True))
+        np.testing.assert_allclose(model[name]["eigenvalues"], values[::-1][:5], rtol=1e-6)
+        assert model[name]["variance"] == pytest.approx(values.sum(), rel=1e-9) and model[name]["n"] == len(m)
+        found = np.array(model[name]["loadings"]).reshape(5, 200)
+        inside = np.linalg.svd(found @ axes[:, ::-1][:, :5])[1]
+        assert inside.min() > 1 - 1e-6  # all directions of the exact subspace were found
+        np.testing.assert_allclose(model[name]["mean"], m.mean(axis=0), rtol=1e-13)
+    monkeypatch.setattr(subspace, "FAN", 2)
+    apart = {r["slice_id"]: r for r in subspace.fit_wide_pca(rows, k=5, round_bytes=5000).collect()}
+    np.testing.assert_allclose(apart["a"]["eigenvalues"], model["a"]["eigenvalues"], rtol=1e-9)
+
+
+def test_number_of_leading_components_follows_the_variance(spark):
+    draw = np.random.default_rng(12)
+    rows = store(rows_of(spark, {"a": draw.normal(size=(300, 40)) * np.sqrt(0.5 ** np.arange(40)), "flat": np.ones((10, 5))}))
+    got = {r["slice_id"]: r["k"] for r in subspace.fit_wide_pca(rows, target=0.9).collect()}
+    want = {r["slice_id"]: r["k"] for r in pca.fit_pca(rows, target=0.9).collect()}
+    assert got == want
