@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftgrid.llm.common import bound
 from driftgrid.llm.vector_rows import by_length, inner, numbered, waves
 from driftgrid.session import store
 
@@ -60,7 +61,7 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     """The stored forest of all rows that are finite and not zero.  An empty table gives a forest without blocks."""
     rows = numbered(vectors, vec_id, embedding, zero=False)
     top = F.array_max(F.transform("vec", F.abs))
-    length = top * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+    length = bound(top, lambda t: t * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / t) * (x / t))))
     count, size, longest = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("vec") * 8), F.lit(0)), F.max(length)).first()
     blocks = max(1, -(-count // block_rows), -(-size // BLOCK_BYTES))
     longest = (longest or 1.0) * (1 + 1e-12)
