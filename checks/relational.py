@@ -1089,3 +1089,19 @@ def squared_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgrid.operators.pca import sq_error
 
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(sq_error(F.col("l_tax"), F.col("l_discount"))).alias("err"))
+
+
+@check(
+    "table_types",
+    """select cast(row_number() over () - 1 as int) as position, column_name, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string'
+      when 'DOUBLE' then 'double' when 'TIMESTAMP' then 'timestamp_ntz' end as column_type from (describe events)""",
+)
+def table_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a table with their types."""
+    return quality.column_types(table(spark, sf_dir, "events"))
+
+
+@check("table_head", """select event_id, ts, event_type, "value" as value from events order by ts, event_id limit 5""")
+def table_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest five events."""
+    return quality.head(table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "ts", "event_type", "value")

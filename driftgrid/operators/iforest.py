@@ -175,7 +175,12 @@ def score_iforest(
     return df.withColumn("score", walker(*[F.col(f).cast("double") for f in features]))
 
 
+def score_limit(train: DataFrame, contamination: float = 0.1) -> float:
+    """The score that a share of ``contamination`` of the train rows exceeds."""
+    return quantile_threshold(train, 1.0 - contamination).first()["threshold"]
+
+
 def label_scores(scored: DataFrame, train: DataFrame, contamination: float = 0.1) -> DataFrame:
     """-1 for rows scoring above the train split's (1 - contamination) quantile, else 1."""
-    limit = quantile_threshold(train, 1.0 - contamination).first()["threshold"]
+    limit = score_limit(train, contamination)
     return scored.withColumn("anomaly", F.when(F.col("score") > F.lit(limit), -1).otherwise(1))

@@ -152,6 +152,17 @@ def schema_table(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
+def column_types(df: DataFrame) -> DataFrame:
+    """(position, column_name, column_type) of a table, as a table."""
+    rows = [(i, name, kind) for i, (name, kind) in enumerate(schema_table(df))]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string")
+
+
+def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows by some columns, which a table without an order of its own needs for it."""
+    return df.orderBy(*order).limit(n)
+
+
 def null_counts(grid: DataFrame, value: str = "value") -> DataFrame:
     """Null cells of every series of a dense grid."""
     return grid.groupBy("slice_id", "series_id").agg(F.count_if(F.col(value).isNull()).alias("null_cells"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators import buckets, iforest, pca, scale, shape, thresholds, vectors, wavelet, windows
 from driftgrid.operators.impute import impute
-from driftgrid.plans import analyses
+from driftgrid.plans import analyses, saved
 from driftgrid.session import store
 from tests.helpers import START, grid_frame, matrix_of, numpy_pca_loss, pandas_impute, sparse_matrix
 
@@ -341,6 +341,21 @@ def test_wavelet_forecast_runs_on_ranges(spark):
     assert got["ts"].min() == pd.Timestamp(START + dt.timedelta(minutes=30))
 
 
+def test_stored_window_models_score_later_samples(spark):
+    """Scaler and forecast of the train range alone; later values may leave its range, and unknown slices have no loss."""
+    x = np.cumsum(np.random.default_rng(13).normal(size=120))
+    at = lambda minutes: F.lit(START + dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+    samples = grid_frame(spark, {"a": x.reshape(-1, 1), "b": x[:70].reshape(-1, 1)})
+    model = store(saved.fit_window_model(samples.filter("slice_id = 'a'"), (at(-1), at(79)), length=3))
+    got = saved.score_window_model(samples, model, (at(79), at(200)), length=3, against="target").toPandas().sort_values("ts")
+    scaled = (x - x[:80].min()) / (x[:80].max() - x[:80].min())
+    w, y = numpy_windows(scaled[:80], 3)
+    coef = np.linalg.lstsq(np.column_stack([np.ones(len(w)), w]), y, rcond=None)[0]
+    later, want = numpy_windows(scaled[80:], 3)
+    np.testing.assert_allclose(got["loss"], (want - coef[0] - later @ coef[1:]) ** 2, atol=1e-9)
+    assert set(got["slice_id"]) == {"a"}
+
+
 def test_impute_leaves_no_gap(spark):
     m = sparse_matrix(9, 70, 4, 0.1)
     got = matrix_of(impute(grid_frame(spark, {"a": m}), chunk_rows=8))["a"]
