@@ -12,7 +12,7 @@ from driftgrid.session import store
 from driftgrid.spread import lookup, store_measured
 
 # Groups up to this size are ranked in one task.
-SMALL_GROUP = 200_000
+SMALL_GROUP = 2_000_000
 # Cells that the range of a larger group is cut into at once.
 CELLS = 1024
 
