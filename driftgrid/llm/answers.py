@@ -39,9 +39,12 @@ candidates as (
     select * from named union all
     select w.* from spans w where kind = 3 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')
     and not exists (select 1 from named x where x.doc_id = w.doc_id and x.a < w.b and x.b > w.a)),
-held as (select value, count(distinct coalesce(source, '')) as owners from candidates group by value),
+held as (
+    select value, count(distinct source) + count(distinct coalesce(cast(doc_id as varchar), '')) filter (source is null) as owners,
+        count(distinct (source, coalesce(cast(doc_id as varchar), ''))) as repos
+    from candidates group by value),
 judged as (
-    select c.*, owners < {ownership.WIDE_OWNERS} and len(list_distinct(string_split(value, ''))) >= {ownership.LIVE_CHARS} and regexp_matches(value, '[0-9]') and {made_up} as live
+    select c.*, owners < {ownership.WIDE_OWNERS} and repos <= {ownership.WIDE_REPOS} * owners and len(list_distinct(string_split(value, ''))) >= {ownership.LIVE_CHARS} and regexp_matches(value, '[0-9]') and {made_up} as live
     from candidates c join held using (value)),
 listed as (
     select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
@@ -144,8 +147,7 @@ from documents d left join sizes using (doc_id) left join lowest on a = d.doc_id
 """
 
 rules = risk_rules.RULES
-tests = sum(len(c) for _, _, c in rules.values())
-limits = ", ".join(f"('{r}', {i}, {c}::double)" for r, (_, _, cuts) in rules.items() for i, c in enumerate(cuts))
+limits = ", ".join(f"('{r}', {i}, {c}::double)" for i, (r, c) in enumerate(risk_rules.PATH))
 values = " union all ".join(f"select doc_id, lang, '{r}' as rule, {top} / cast(nullif({below}, 0) as double) as value from measured" for r, (top, below, _) in rules.items())
 OP10 = f"""
 with split as (
@@ -160,15 +162,23 @@ measured as (
     from split s left join covered c using (doc_id)),
 valued as ({values}),
 good as (select doc_id from labels where doc_id is not null and quality is not null group by doc_id having min(quality) = 1),
-strata as (select lang, count(*) as n from measured semi join good using (doc_id) group by lang),
+labelled as (select *, substr(sha256(cast(doc_id as varchar)), 1, 1) < '4' as pilot from measured semi join good using (doc_id)),
+strata as (select lang, count(*) as n from labelled where not pilot group by lang),
 limits as (select * from (values {limits}) v(rule, i, cutoff)),
+sizes as (select lang, count(*) filter (pilot) as n from labelled group by lang),
+path as (
+    select s.lang, l.rule, l.i, l.cutoff from sizes s, limits l
+    where (select count(*) from valued v join labelled g using (doc_id) where g.pilot and v.lang = s.lang and v.rule = l.rule and v.value > l.cutoff) <= {risk_rules.RISK / len(rules)} * s.n),
+first as (select doc_id, lang, min(i) filter (value > cutoff) as first from (select v.* from valued v join labelled g using (doc_id) where not g.pilot) join path using (lang, rule) group by all),
 counts as (
-    select lang, rule, i, cutoff, count(*) filter (value > cutoff) as k from (select * from valued semi join good using (doc_id)) join limits using (rule) group by all),
-passed as (
-    select lang, rule, min(cutoff) as cutoff from counts join strata using (lang)
-    where k <= {risk_rules.RISK / len(rules)} * n and list_sum(list_transform(range(0, k + 1), lambda j:
-        exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk_rules.RISK / len(rules)}) + (n - j) * ln({1 - risk_rules.RISK / len(rules)})))) <= {risk_rules.DOUBT} / ({tests} * (select count(*) from strata))
-    group by lang, rule),
+    select lang, i, (select count(*) from first f where f.lang = s.lang and f.first <= l.i) as k, n
+    from strata s, limits l where {1 - risk_rules.RISK} ** n <= {risk_rules.DOUBT}),
+walked as (
+    select lang, count(*) as steps from counts
+    where k <= {risk_rules.RISK} * n and list_sum(list_transform(range(0, k + 1), lambda j:
+        exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk_rules.RISK}) + (n - j) * ln({1 - risk_rules.RISK})))) <= {risk_rules.DOUBT} / (select count(distinct lang) from counts)
+    group by lang),
+passed as (select lang, rule, min(cutoff) as cutoff from walked join path using (lang) where i < steps group by lang, rule),
 failed as (select doc_id, string_agg(v.rule, ',' order by o) as rules from valued v join passed p using (lang, rule) join (select unnest({list(rules)}) as rule, unnest(range({len(rules)})) as o) using (rule) where value > cutoff group by doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and rules is null as kept, coalesce(rules, '') as failed_rules

@@ -1,9 +1,9 @@
 """Secret scan by corpus-wide ownership frequency.
 
 Every text is scanned once for candidates.  Their hashes, never their values, are aggregated
-over the corpus by distinct repositories and distinct owners: a value that many owners hold is an
-example that was copied around; one that few owners hold and that looks random is reported as
-live.  Spans of the three named kinds always stay; wide candidates are added where they are live.
+over the corpus by distinct repositories and distinct owners: a value that many owners hold, or that
+fills the repositories of its few owners, is an example that was copied around; one that few owners hold in few places
+and that looks random is reported as live.  Spans of the three named kinds always stay; wide candidates are added where they are live.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "wide")
 PLACEHOLDERS = ("example", "changeme", "placeholder", "sample", "dummy", "your", "xxxx", "1234567")
 #: A value with this many owners or more is a copied example.
 WIDE_OWNERS = 3
+#: So is one that stands in more repositories than this per owner.
+WIDE_REPOS = 20
 #: A live value has at least so many different characters.
 LIVE_CHARS = 8
 
@@ -99,33 +101,34 @@ SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop"
 def ownership(found: DataFrame) -> DataFrame:
     """Per candidate hash: distinct owners and distinct repositories, counted in two narrowing steps.
 
-    Unknown owners (null) are one owner, unknown repositories of an owner one repository.
+    Where the owner is unknown (null), each repository counts as an owner; unknown repositories of an owner are one repository.
     """
-    each = found.select(F.explode("spans.hash").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"))
+    each = found.select(F.explode("spans.hash").alias("hash"), "owner", F.coalesce("repo", F.lit("")).alias("repo"))
     held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("uses")).groupBy("hash", "owner")
     return held.agg(F.count("*").alias("repos"), F.sum("uses").alias("uses")).groupBy("hash").agg(
-        F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses")
+        F.sum(F.when(F.col("owner").isNull(), F.col("repos")).otherwise(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses")
     )
 
 
-def classify(found: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def classify(found: DataFrame, wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """The candidates, one row each, with owners, repos and the verdict ``live`` or ``example``."""
     each = found.select("row", "doc_id", F.explode("spans").alias("s")).select("row", "doc_id", "s.*")
     known = lookup(each, ownership(found), "hash")
-    live = F.col("live") & (F.col("owners") < wide_owners)
+    live = F.col("live") & (F.col("owners") < wide_owners) & (F.col("repos") <= wide_repos * F.col("owners"))
     return known.withColumn("verdict", F.when(live, "live").otherwise("example"))
 
 
-def scan_secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS, **columns: str) -> DataFrame:
+def scan_secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS, **columns: str) -> DataFrame:
     """Spans per document: (doc_id, spans array<struct<kind,start,stop,hash,owners,repos,verdict>>).
 
     One row per input row: repeated rows are reported as often as they stand there (their copies count as
-    one repository), a null or empty text has no spans, a null id stays null.  Other columns are not looked at.
+    one repository), a null or empty text has no spans, a null id stays null, an empty table gives none.  Texts are scanned
+    whole, however long.  Other columns are not looked at.
     """
     found = candidates(docs, **columns)
     fields = ("start", "kind", "stop", "hash", "owners", "repos", "verdict")
     judged = (
-        classify(found.filter(F.size("spans") > 0), wide_owners)
+        classify(found.filter(F.size("spans") > 0), wide_owners, wide_repos)
         .filter((F.col("kind") < 3) | (F.col("verdict") == "live"))
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("spans"))

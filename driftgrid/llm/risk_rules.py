@@ -1,10 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares a measure of the text with a cutoff from a fixed list.  On labelled documents, the
-number of good ones that a cutoff would reject gives an exact binomial test per stratum: a cutoff may be used
-only if so few rejections would be unlikely, at a level corrected for all tests, were its true false rejection rate
-above the limit.  Each stratum takes the strictest cutoff of each rule that passes; without
-enough labels it takes none.  DataFrame functions throughout.
+Each rule compares a measure of the text with a cutoff from a fixed list.  The cutoffs of all rules lie on one
+path, from the loosest of each rule to the strictest; a step adds one cutoff to those before it.  On labelled documents,
+the number of good ones that the rules together reject at a step gives an exact binomial test: so few would
+be unlikely, were the true false rejection rate above the limit.  A stratum walks the path and stops before the first step that fails
+its test, so its steps need no correction among themselves; the level is divided over the strata that
+have labels enough to pass any test.  The others use no learned rule.  So that a rule unfit for a stratum stops no other,
+a quarter of the labels, which no test uses, first takes the steps off the path that by themselves reject more than a rule's even part of the limit.
+DataFrame functions throughout.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from driftgrid.session import store
 from driftgrid.spread import lookup
 
 SYMBOLS = "#*$%&|<>"
-#: False rejections of good documents: at most RISK per stratum, with confidence 1 - DOUBT over all tests.
+#: False rejections of good documents by all rules together: at most RISK per stratum, with confidence 1 - DOUBT over all strata.
+#: A stratum needs log(DOUBT) / log(1 - RISK) tested good labels (149) at the least, more where several strata are tested.
 RISK, DOUBT = 0.02, 0.05
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Rule -> (numerator, denominator, cutoffs from strict to loose); a document fails above the cutoff.
@@ -28,6 +32,10 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines", (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)),
     "repeats": ("n_repeat_words", "n_words", (0.05, 0.1, 0.15, 0.2, 0.3, 0.4)),
 }
+#: The steps (rule, cutoff) from loose to strict, rule by rule in each round.
+PATH = tuple(
+    (rule, cuts[-1 - turn]) for turn in range(max(len(cuts) for _, _, cuts in RULES.values())) for rule, (_, _, cuts) in RULES.items() if turn < len(cuts)
+)
 
 
 def repeat_words(words: Column) -> Column:
@@ -98,21 +106,29 @@ def tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(stratum, good, cut_<rule> ...), stored: the strictest cutoff of each rule that passes its test, else null.
+    """(stratum, good, steps, cut_<rule> ...): tested good labels, how many steps of the path pass, and the strictest cutoff of each rule among them, else null.
 
     A label row with a null id or label is passed over, and an id with several labels is good if
-    all say so.  ``risk`` is divided over the rules, ``doubt`` over all tests of all strata.
+    all say so.  Without labels the table has no rows.
     """
     marks = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     good = found.join(marks.filter("label = 1").select("doc_id"), "doc_id", "left_semi").withColumn("stratum", F.coalesce("stratum", F.lit("")))
-    over = [F.count_if(ratio(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(RULES[r][2])]
-    counts = store(good.groupBy("stratum").agg(F.count("*").alias("good"), *over))
-    tests = max(1, counts.count()) * len(over)
-    passed = {
-        r: F.coalesce(*(F.when(tail(F.col(f"{r}_{i}"), F.col("good"), risk / len(RULES)) <= doubt / tests, F.lit(c)) for i, c in enumerate(RULES[r][2])))
-        for r in RULES
-    }
-    return store(counts.select("stratum", "good", *(c.alias(f"cut_{r}") for r, c in passed.items())))
+    good = good.withColumn("pilot", F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 1) < "4")
+    steps = range(len(PATH))
+    alone = [F.count_if(F.col("pilot") & (ratio(r) > c)) <= risk / len(RULES) * F.count_if("pilot") for r, c in PATH]
+    path = store(good.groupBy("stratum").agg(F.array(*alone).alias("path")))
+    # The first step that rejects the document.
+    first = F.least(*(F.when((ratio(r) > c) & F.get("path", F.lit(i)), F.lit(i)) for i, (r, c) in enumerate(PATH)))
+    tested = lookup(good.filter(~F.col("pilot")), path, "stratum").select("stratum", "path", first.alias("first"))
+    over = [F.count_if(F.col("first") <= i).alias(f"k{i}") for i in steps]
+    counts = store(tested.groupBy("stratum", "path").agg(F.count("*").alias("good"), *over))
+    enough = F.pow(F.lit(1 - risk), F.col("good")) <= doubt
+    level = doubt / max(1, counts.filter(enough).count())
+    # Rejections only grow along the path, so the steps that pass are its beginning.
+    passes = [F.when(enough & (tail(F.col(f"k{i}"), F.col("good"), risk) <= level), 1).otherwise(0) for i in steps]
+    walked = store(counts.select("stratum", "good", "path", sum(passes[1:], passes[0]).alias("steps")))
+    cut = {r: F.least(*(F.when((F.col("steps") > i) & F.get("path", F.lit(i)), F.lit(c)) for i, (x, c) in enumerate(PATH) if x == r)) for r in RULES}
+    return walked.select("stratum", "good", "steps", *(c.alias(f"cut_{r}") for r, c in cut.items()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:

@@ -38,6 +38,19 @@ def test_secrets(documents):
     assert ownership.scan_secrets(documents([])).count() == 0
 
 
+def test_secrets_by_repositories(documents):
+    """Repositories decide too: many of one owner, or many without an owner, hold an example; a few do not."""
+    wide = ["Zq8/Lm3+Pw9xTt5Kc2Vb", "Yp7/Kn2+Ov8wSs4Jb1Ua", "Xo6/Jm1+Nu7vRr3Ia9Tz", "Wn5/Il9+Mt6uQq2Hz8Sy"]
+    rows = [(100 + i, f"x {wide[0]} y", "en", "one") for i in range(200)]
+    rows += [(400 + i, f"x {wide[1]} y", "en", None) for i in range(200)]
+    rows += [(700 + i, f"x {wide[2]} y", "en", "two") for i in range(ownership.WIDE_REPOS)]
+    rows += [(800 + i, f"x {wide[3]} y", "en", None) for i in range(2)] + [(900, "a1 " * 100_000 + wide[3][::-1], "en", "long")]
+    got = {r["doc_id"]: r for r in ownership.digest(ownership.scan_secrets(documents(rows))).collect()}
+    assert not any(got[i]["n_live"] for i, *_ in rows[:400])
+    assert all(got[i]["n_live"] == 1 for i, *_ in rows[400:])
+    assert got[900]["spans"] == "wide:300000:300020"
+
+
 def test_language(documents):
     rows = [*EDGES, *((100 + i, words_text(i, 40), "de", "a") for i in range(5)), *((200 + i, "el gato y el perro en la casa verde", "es", "a") for i in range(5))]
     docs = documents(rows)
@@ -323,6 +336,34 @@ def test_labels_let_rules_reject(spark, documents):
     assert got.filter("doc_id < 9000 and failed_rules <> ''").count() == 0
 
 
+def test_rules_keep_their_promise(spark):
+    """Over 200 strata, each tested at the level of 5 %, few take a cutoff whose true false rejection is above the limit."""
+    strata, n = 200, 600
+    # P(repeats > c) = rate (1 - c): in even strata 0.02 at c = 0.2, above the limit below it.
+    rate = F.when(F.col("id") % 2 == 0, 0.025).otherwise(0.001)
+    value = F.when(F.rand(7) < rate, F.floor(F.rand(8) * 1000)).otherwise(0)
+    rows = spark.range(strata * n).select(
+        F.col("id").alias("doc_id"), (F.col("id") % strata).cast("string").alias("stratum"), F.lit(1000).alias("n_words"), value.alias("n_repeat_words"),
+        F.lit(10).alias("n_lines"), F.lit(0).alias("n_dup_lines"), F.lit(5000).alias("word_chars"), F.lit(0).alias("n_symbols"),
+    )
+    found = corpus_pipeline.store(rows)
+    cuts = risk_rules.thresholds(found, found.select("doc_id", F.lit(1).alias("quality")), doubt=0.05 * strata).toPandas()
+    assert len(cuts) == strata and 0.7 * n < cuts["good"].min() and cuts["good"].max() < 0.8 * n
+    odd = cuts["stratum"].astype(int) % 2 == 1
+    assert (cuts[~odd]["cut_repeats"] < 0.2).sum() <= 0.1 * (~odd).sum() and cuts[odd]["cut_repeats"].notna().mean() > 0.9
+
+
+def test_rules_act_from_two_hundred_labels(spark, documents):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    good = [(1000 + i, words(i), "de", "a") for i in range(260)]
+    rows = [*EDGES, *good, (10, words(1) + "\nsame" * 40, "de", "a"), (11, words(2) + "\nsame" * 40, "fr", "a"), (12, words(3) + " #" * 100_000, "de", "a")]
+    labels = spark.createDataFrame([(1000 + i, 1) for i in range(260)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in risk_rules.judge(documents(rows), labels).collect()}
+    assert "dup_lines" in got[10]["failed_rules"] and "symbols" in got[12]["failed_rules"] and not got[10]["kept"]
+    assert got[11]["failed_rules"] == ""  # its stratum has no labels
+    assert all(got[i]["kept"] for i, *_ in good)
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
