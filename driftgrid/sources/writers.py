@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions.arrays import join_flags, split_flags
 from driftgrid.functions.times import iso_text, parse_ts
+from driftgrid.session import store
+from driftgrid.spread import byte_size
 
+#: About how many bytes of rows a task that writes losses sorts.
+TASK_BYTES = 64_000_000
 
 MANIFEST = "run string, attempt string, written timestamp"
 
@@ -78,15 +83,31 @@ def read_anomaly_log(spark, path: str) -> DataFrame:
 def write_loss(loss: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
     """Losses by a bucket of the slice, with the slice as a column.
 
-    Slice texts may be long and many, so a folder stands for a bucket of their hash: 256 at most.  Spark
-    evens out what the writing tasks get, so a busy slice is written by many of them.  With the name of a
+    Slice texts may be long and many, so a folder stands for a bucket of their hash: 256 at most.  Buckets are laid
+    end to end by the size of their rows in memory (the same text over and over is small in a shuffle, but not in a
+    sort), and every task writes an equal length of it: a busy slice is written by many tasks.  With the name of a
     ``run`` they go to a table of runs (``read_runs``), where a repeated write does not double them.
     """
     if run is not None:
         write_run(loss, path, run)
         return
+    spark = loss.sparkSession
     bucket = F.concat(F.lit("b"), F.substring(F.md5(F.col("slice_id").cast("string")), 1, 2))
-    loss.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(path)
+    rows = store(loss.withColumn("_bucket", bucket))
+    width = sum((byte_size(F.col(f"`{f.name}`"), f.dataType) + 8 for f in rows.schema.fields), F.lit(32))
+    sizes = rows.groupBy("_bucket").agg(F.sum(width).alias("bytes")).collect()  # one line per bucket, 257 at most
+    places, end = [], 0
+    for line in sizes:
+        places.append((line["_bucket"], end, line["bytes"]))
+        end += line["bytes"]
+    tasks = max(math.ceil(end / TASK_BYTES), 1)
+    places = spark.createDataFrame(places, "_key string, _start long, _bytes long")
+    # The stored rows keep their places, so a repeated task sends each row where it went before.
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
+    task = F.floor((F.col("_start") + F.col("_part") * F.col("_bytes")) / F.lit(max(end, 1)) * tasks).cast("int")
+    placed = rows.withColumn("_part", part).join(F.broadcast(places), F.col("_bucket").eqNullSafe(F.col("_key")))
+    placed = placed.withColumn("_task", F.least(task, F.lit(tasks - 1))).repartitionById(tasks, "_task")
+    placed.select(*rows.columns).write.mode(mode).partitionBy("_bucket").parquet(path)
 
 
 def write_model(model: DataFrame, path: str) -> None:
