@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid import spread
 from driftgrid.session import store
-from driftgrid.spread import salted_join
+from driftgrid.spread import salted_join, store_measured
+
+#: Ancestors that are kept in one list; chains beyond that are followed pair by pair.
+LISTED = 256
 
 
 def join_telemetry(spans: DataFrame, metrics: DataFrame, on: str = "ts") -> DataFrame:
@@ -48,18 +52,87 @@ def span_chains(
 ) -> DataFrame:
     """Every span with all its ancestors: (span_id, ancestor_id, depth), depth 0 being the span itself.
 
-    The known reach doubles each round, so a chain of a million hops takes twenty rounds.
-    A chain that comes back to a span it has visited ends there.  Each round is written to
-    the shared folder; a popular ancestor is spread over several tasks.
+    A span carries the list of its next ancestors and appends the list of the last of them, so the known reach
+    doubles each round; a span whose list has met a root is not moved again.  Chains of more than ``LISTED``
+    hops go on pair by pair, twenty rounds for a million hops.  A chain that comes back to a span it has visited
+    ends there.  Each round is written to the shared folder; a popular ancestor is spread over several tasks.
+    """
+    edges = span_edges(spans, order).filter("span_id is not null")
+    start = edges.select("span_id", F.array("parent_span_id").alias("path"), F.col("parent_span_id").alias("up"), F.lit(False).alias("looped"))
+    lists = store(without_loops(start))
+    ended, going, reach = [lists.filter("up is null")], lists.filter("up is not null"), 1
+    while reach < LISTED and (max_depth is None or reach < max_depth):
+        waiting, ups = going.agg(F.count("*"), F.approx_count_distinct("up")).first()
+        if not waiting:
+            break
+        lists = store(without_loops(lengthened(going, reduce(DataFrame.unionByName, ended, going), reach, waiting, ups, rows_per_task)))
+        ended, going, reach = [*ended, lists.filter("up is null")], lists.filter("up is not null"), 2 * reach
+    short = reduce(DataFrame.unionByName, ended)
+    known = list_pairs(short).unionByName(deep_pairs(going, short, reach, max_depth, rows_per_task))
+    if max_depth is not None:
+        known = known.filter(F.col("depth") <= max_depth)
+    own = spans.select("span_id").distinct().select(
+        "span_id", F.col("span_id").alias("ancestor_id"), F.lit(0).alias("depth")
+    )
+    return own.unionByName(known)
+
+
+def without_loops(lists: DataFrame) -> DataFrame:
+    """(span_id, path, up, looped): a list that comes back to a span it has visited ends there; ``looped`` marks it."""
+    once = F.array_except("path", F.array("span_id"))  # the others in the order in which they come first
+    again = F.col("up").isNotNull() & (F.size(once) < F.size("path"))
+    return lists.select(
+        "span_id",
+        F.when(F.col("up").isNotNull() | F.col("looped"), once).otherwise(F.col("path")).alias("path"),
+        F.when(~F.col("looped") & ~again, F.col("up")).alias("up"),
+        (F.col("looped") | again).alias("looped"),
+    )
+
+
+def lengthened(going: DataFrame, lists: DataFrame, reach: int, waiting: int, ups: int, rows_per_task: int | None) -> DataFrame:
+    """Append to each of the ``waiting`` lists that of its last ancestor; there are about ``ups`` such ancestors.
+
+    If they are few, only their lists are kept, and broadcast if their measured size allows.
     """
-    edges = store(span_edges(spans, order))
-    known = edges.select("span_id", F.col("parent_span_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    known = store(known.filter("span_id <> ancestor_id"))
-    jump = edges.select("span_id", F.col("parent_span_id").alias("mid"))
-    reach, rows = 1, known.count()
-    spans_left = edges.count()
-    while rows and (max_depth is None or reach < max_depth):
-        ahead = known.select(F.col("span_id").alias("mid"), "ancestor_id", F.col("depth").alias("_more"))
+    ahead, size = lists, None
+    if 8 * ups <= spread.BROADCAST_BYTES:
+        wanted, size = store_measured(going.select(F.col("up").alias("span_id")).distinct())
+        wanted = F.broadcast(wanted) if size <= spread.BROADCAST_BYTES else wanted
+        ahead, size = store_measured(lists.join(wanted, "span_id", "left_semi"))
+    ahead = ahead.select(F.col("span_id").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"), F.col("looped").alias("_looped"))
+    if size is not None and size <= spread.BROADCAST_BYTES:
+        both = going.join(F.broadcast(ahead), ["up"], "left")
+    else:
+        share = max((rows_per_task or spread.ROWS_PER_TASK) // reach, 1)
+        both = salted_join(going, ahead, ["up"], "left", rows_per_task=share, at_most=waiting)
+    return both.select(
+        "span_id",
+        F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", "_path")).alias("path"),
+        F.col("_up").alias("up"),
+        F.coalesce("_looped", F.lit(False)).alias("looped"),
+    )
+
+
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """(span_id, ancestor_id, depth), one row per list entry."""
+    return lists.select("span_id", F.posexplode("path").alias("_at", "ancestor_id")).select(
+        "span_id", "ancestor_id", (F.col("_at") + 1).alias("depth")
+    )
+
+
+def deep_pairs(going: DataFrame, short: DataFrame, reach: int, max_depth: int | None, rows_per_task: int | None) -> DataFrame:
+    """(span_id, ancestor_id, depth) of the spans whose chain goes on beyond ``reach``; ``short`` has the lists of all others."""
+    known = list_pairs(going)
+    jump = going.select("span_id", F.col("up").alias("mid"))
+    spans_left = going.count()
+    if not spans_left or (max_depth is not None and reach >= max_depth):
+        return known
+    known = store(known)
+    rows = known.count()
+    while max_depth is None or reach < max_depth:
+        mids = jump.select(F.col("mid").alias("span_id")).distinct()
+        ahead = known.unionByName(list_pairs(short.join(mids, "span_id", "left_semi")))
+        ahead = ahead.select(F.col("span_id").alias("mid"), "ancestor_id", F.col("depth").alias("_more"))
         share = max((rows_per_task or spread.ROWS_PER_TASK) // reach, 1)
         further = salted_join(jump, ahead, ["mid"], rows_per_task=share, at_most=spans_left).select(
             "span_id", "ancestor_id", (F.col("_more") + reach).alias("depth")
@@ -80,12 +153,7 @@ def span_chains(
             salted_join(jump, hops, ["mid"], at_most=spans_left).select("span_id", F.col("_next").alias("mid"))
         )
         reach *= 2
-    if max_depth is not None:
-        known = known.filter(F.col("depth") <= max_depth)
-    own = spans.select("span_id").distinct().select(
-        "span_id", F.col("span_id").alias("ancestor_id"), F.lit(0).alias("depth")
-    )
-    return own.unionByName(known)
+    return known
 
 
 def span_roots(spans: DataFrame, order: Sequence[str] = (), rows_per_task: int | None = None) -> DataFrame:
