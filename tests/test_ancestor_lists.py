@@ -51,3 +51,20 @@ def test_rounds_of_chains_write_a_row_per_span(spark, monkeypatch):
     df = spark.range(200).select(F.col("id").alias("span_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_span_id"))
     assert traces.span_chains(df).count() == 200 + 19_900
     assert sum(written) <= 200 * 12
+
+
+def test_rows_of_chains_move_a_row_per_span(spark, monkeypatch):
+    written = []
+    keep = traces.store
+
+    def counted(df):
+        stored = keep(df)
+        written.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(traces, "store", counted)
+    df = spark.range(200).select(F.col("id").alias("span_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_span_id"), F.lit("a").alias("service"))
+    df = df.unionByName(df.filter("span_id < 5")).unionByName(df.filter("span_id = 7").withColumn("service", F.lit("b")))
+    got = traces.chain_rows(df, traces.span_chains(df)).collect()
+    assert sorted((r["span_id"], r["service"]) for r in got) == sorted([(i, "a") for i in range(200)] + [(7, "b")])
+    assert sum(written) <= 200 * 12
