@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ CHUNK, OVERLAP = 32_768, 1_024
 MARGIN = 8
 #: Pre-tokens a task remembers, and the longest it remembers.
 CACHED, CACHED_CHARS = 300_000, 64
+#: Pre-tokens of up to so many bytes are merged by scanning their few pairs.
+SCANNED = 96
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,12 +41,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token: the adjacent pair of lowest rank is merged first, the leftmost among equals.
 
-    Parts are kept by start position, and pairs in a heap, so a long run costs n log n.
+    A short pre-token is scanned for that pair anew each time.  In a longer one parts are kept by start position,
+    and pairs in a heap, so a long run costs n log n.
     """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n <= SCANNED:
+        return scanned(piece, ranks)
     after = list(range(1, n + 1))  # start -> start of the next part
     before = list(range(-1, n))
     get = ranks.get
@@ -75,6 +81,24 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def scanned(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``merged`` for a short pre-token: a list of cuts, and one of the ranks of the pairs between them."""
+    get, none = ranks.get, float("inf")
+    cuts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        del pairs[i], cuts[i + 1]
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
 def splitter(pattern: str):
     """The pre-token pattern; white space as Unicode defines it."""
     return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
@@ -91,7 +115,8 @@ class Encoder:
         for p in pieces:
             ids = get(p)
             if ids is None:
-                ids = np.array(merged(p.encode(), self.ranks), "<u4").tobytes()
+                found = merged(p.encode(), self.ranks)
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(p) <= CACHED_CHARS:
                     if len(self.known) >= CACHED:
                         self.known.clear()
